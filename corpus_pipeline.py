@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import quality
+from sedimenta.llm import neardup, quality
 from sedimenta.llm.shared import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,8 +17,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group."""
+    return neardup.keep_one(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_stage),
+    ("minhash_near_dedup", near_dedup_stage),
 ]
 
 #: The classifier is a trained model, which SQL can't express.
