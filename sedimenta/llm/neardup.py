@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.graph import components
 from sedimenta.llm.shared import cut, text_columns, text_key
-from sedimenta.llm.words import grams_of, mix, slices, words_of
+from sedimenta.llm.words import distinct, grams_of, mix, slices, words_of
 
 SHINGLE = 3
 BINS = 128
@@ -68,10 +68,10 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for part in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
         values, owner = grams_of(*words_of(part.column("text")), SHINGLE)
-        order = np.lexsort((values, owner))
+        order = np.argsort(owner, kind="stable")
         values, owner = values[order], owner[order]
         cut_at = np.searchsorted(owner, np.arange(part.num_rows + 1))
-        out += [np.unique(values[a:b]) for a, b in zip(cut_at, cut_at[1:])]
+        out += [distinct(values[a:b]) for a, b in zip(cut_at, cut_at[1:])]
     return out
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import counts, neardup, quality, rans
+from sedimenta.llm import counts, decontam, exact, mixing, neardup, quality, rans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,20 @@ def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.encode(_table(spark, sf_dir, "documents"))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of ten doc_ids, six came with the first snapshot, two with the second, and two are the new batch."""
+    docs = _table(spark, sf_dir, "documents")
+    return exact.exact_duplicates([docs.where("doc_id % 10 < 6"), docs.where("doc_id % 10 in (6, 7)"), docs.where("doc_id is null or doc_id % 10 > 7")])
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_copies(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -31,9 +45,24 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans_tokens": op1_rans_tokens,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op5_source_mixing": op5_source_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": """
+        WITH parts AS (
+            SELECT doc_id, text, CASE WHEN doc_id % 10 < 6 THEN 0 WHEN doc_id % 10 < 8 THEN 1 ELSE 2 END AS part FROM documents
+        ), ranked AS (
+            SELECT doc_id, text,
+                   first_value(doc_id) OVER (PARTITION BY text ORDER BY part, doc_id NULLS LAST) AS first_id,
+                   row_number() OVER (PARTITION BY text ORDER BY part, doc_id NULLS LAST) AS nth
+            FROM parts
+        )
+        SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE first_id END AS keep_id, text IS NULL OR nth = 1 AS keep FROM ranked
+    """,
+}

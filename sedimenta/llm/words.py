@@ -116,6 +116,22 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_spans(data, start, end), np.searchsorted(start, offsets)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is faster here than numpy's hashing."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def summed(key: np.ndarray, weight: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below `keys` and the sums of their weights."""
+    if keys <= 1 << 23:
+        total = np.bincount(key, weight, keys)
+        at = np.flatnonzero(total)
+        return at, total[at]
+    at, inverse = np.unique(key, return_inverse=True)
+    return at, np.bincount(inverse, weight, len(at))
+
+
 def row_of(offsets: np.ndarray) -> np.ndarray:
     """Row number of each element."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
