@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import counts, decontam, exact, mixing, neardup, quality, rans
+from sedimenta.llm import counts, decontam, exact, lmscore, mixing, neardup, quality, rans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.encode(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled of good quality and not toxic."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) <> 1").select("doc_id")
+    return lmscore.score(_table(spark, sf_dir, "documents"), good)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of ten doc_ids, six came with the first snapshot, two with the second, and two are the new batch."""
     docs = _table(spark, sf_dir, "documents")
@@ -45,6 +51,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans_tokens": op1_rans_tokens,
+    "op2_lm_score": op2_lm_score,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_source_mixing": op5_source_mixing,
