@@ -13,8 +13,8 @@ from sedimenta.llm.pretokens import TOKENIZERS, VOCABULARY, HashTable, encoding,
 from sedimenta.llm.shared import text_columns
 from sedimenta.llm.words import hash_spans, slices
 
-#: Texts, of lowest hash, whose pre-tokens are counted to choose the frequent ones, and pre-tokens chosen. What is
-#: chosen decides how often the first tier answers, never what the answer is.
+#: About so many texts, chosen by hash, have their pre-tokens counted to choose the frequent ones, and so many are
+#: chosen. What is chosen decides how often the first tier answers, never what the answer is.
 SAMPLE_ROWS = 1_000
 FREQUENT = 1 << 16
 _TIER_BITS = 18
@@ -22,8 +22,9 @@ _TIER_BITS = 18
 
 def frequent_lengths(docs: DataFrame, folder: str, vocabulary: str, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The compact first tier: two hashes and the token count of the most frequent pre-tokens of a sample."""
-    texts = text_columns(docs, "text").where("text is not null").orderBy(F.xxhash64("text")).limit(rows).toArrow().column("text").combine_chunks()
-    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    every = max(1, docs.count() // rows)
+    chosen = text_columns(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
+    texts = pa.chunked_array(chosen.select("text").limit(2 * rows).toArrow().column("text").chunks, pa.string()).combine_chunks()
     data, start, end, _ = pretokens(texts)
     h, c = hash_spans(data, start, end), hash_spans(data, start, end, 1)
     _, first, count = np.unique(h, return_index=True, return_counts=True)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import counts, decontam, exact, lmscore, mixing, neardup, quality, rans, repeats
+from sedimenta.llm import counts, decontam, exact, linedup, lmscore, mixing, neardup, quality, rans, repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_copies(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.deduped_lines(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_source_mixing": op5_source_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
