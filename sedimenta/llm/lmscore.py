@@ -16,6 +16,8 @@ from sedimenta.llm.words import distinct, row_of, slices, words_of
 #: Symbols of both models: the most frequent words, one for all other words, one for the start of a text. The model
 #: is a dense table of SYMBOLS**2 losses, so what workers hold and what the driver sends is the same for any corpus.
 SYMBOLS = 4096
+#: Counted bigrams that a task holds before it adds up equal ones.
+COUNTED_PAIRS = 3_000_000
 #: Ids of target documents up to so many bytes are sent to the workers; more are joined.
 BROADCAST_BYTES = 64 << 20
 
@@ -75,22 +77,35 @@ def flag_target(docs: DataFrame, target_ids: DataFrame, broadcast_bytes: int = B
     return text_columns(docs, "doc_id", "text").select("text", among("doc_id").alias("target"))
 
 
+def _counted(pair: np.ndarray, target: np.ndarray, background: np.ndarray) -> np.ndarray:
+    """Rows pair, target, background with the counts of equal pairs added up."""
+    if len(pair) == 0:
+        return np.zeros((3, 0), np.int64)
+    order = np.argsort(pair)
+    pair = pair[order]
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    return np.stack([pair[first], np.add.reduceat(target[order], first), np.add.reduceat(background[order], first)])
+
+
 def bigram_counts(flagged: DataFrame, vocab: np.ndarray, symbols: int = SYMBOLS) -> DataFrame:
     """(pair, target, background): counts of every bigram of the target texts and of all texts."""
     sent = flagged.sparkSession.sparkContext.broadcast(vocab)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, symbols * symbols), np.int32)
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for part in slices(batch, "text"):
                 pair, offsets = pairs_of(part.column("text"), sent.value, symbols)
-                own = part.column("target").to_numpy(zero_copy_only=False)[row_of(offsets)]
-                np.add.at(total[1], pair, 1)
-                np.add.at(total[0], pair[own.astype(bool)], 1)
-        seen = np.flatnonzero(total[1])
-        for i in range(0, len(seen), 1 << 17):
-            at = seen[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[0, at], pa.int64()), pa.array(total[1, at], pa.int64())], ["pair", "target", "background"])
+                own = part.column("target").to_numpy(zero_copy_only=False)[row_of(offsets)].astype(np.int64)
+                held.append(_counted(pair, own, np.ones(len(pair), np.int64)))
+                size += held[-1].shape[1]
+                if size >= COUNTED_PAIRS:
+                    held = [_counted(*np.concatenate(held, axis=1))]
+                    size = held[0].shape[1]
+        total = _counted(*np.concatenate(held, axis=1)) if held else np.zeros((3, 0), np.int64)
+        for i in range(0, total.shape[1], 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 17)]) for c in total], ["pair", "target", "background"])
 
     counted = flagged.mapInArrow(count, "pair long, target long, background long")
     return counted.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
@@ -108,7 +123,10 @@ def losses(word: np.ndarray, count: np.ndarray, unigram: np.ndarray) -> np.ndarr
 
 
 def difference_table(docs: DataFrame, target_ids: DataFrame, symbols: int = SYMBOLS, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """(vocabulary, table): table[h * symbols + w] is the target model's loss of w after h less the background's."""
+    """(vocabulary, table): table[h * symbols + w] is the target model's loss of w after h less the background's.
+
+    The table holds 16-bit floats: differences are exact to three digits, and scores are means of many.
+    """
     vocab = vocabulary(docs, symbols)
     counts = cut(bigram_counts(flag_target(docs, target_ids, broadcast_bytes), vocab, symbols), "bigrams")
     unigrams = np.zeros((2, symbols))
@@ -119,13 +137,13 @@ def difference_table(docs: DataFrame, target_ids: DataFrame, symbols: int = SYMB
     def row(rows: pd.DataFrame) -> pd.DataFrame:
         word = (rows["pair"] % symbols).to_numpy()
         t, b = (losses(word, rows[c].to_numpy(), u) for c, u in zip(("target", "background"), sent.value))
-        return pd.DataFrame({"h": [int(rows["pair"].iloc[0]) // symbols], "d": [(t - b).astype("<f4").tobytes()]})
+        return pd.DataFrame({"h": [int(rows["pair"].iloc[0]) // symbols], "d": [(t - b).astype("<f2").tobytes()]})
 
     none = np.zeros(0)
-    unseen = (losses(none.astype(int), none, unigrams[0]) - losses(none.astype(int), none, unigrams[1])).astype("<f4")
+    unseen = (losses(none.astype(int), none, unigrams[0]) - losses(none.astype(int), none, unigrams[1])).astype("<f2")
     table = np.tile(unseen, symbols)
     for r in counts.withColumn("h", F.floor(F.col("pair") / symbols)).groupBy("h").applyInPandas(row, "h long, d binary").toLocalIterator():
-        table[r["h"] * symbols : (r["h"] + 1) * symbols] = np.frombuffer(bytes(r["d"]), "<f4")
+        table[r["h"] * symbols : (r["h"] + 1) * symbols] = np.frombuffer(bytes(r["d"]), "<f2")
     return vocab, table
 
 
@@ -144,7 +162,7 @@ def score(docs: DataFrame, target_ids: DataFrame, symbols: int = SYMBOLS, broadc
         for batch in batches:
             for part in slices(batch, "text"):
                 pair, offsets = pairs_of(part.column("text"), vocab, symbols)
-                total = np.bincount(row_of(offsets), table[pair], part.num_rows)
+                total = np.bincount(row_of(offsets), table[pair].astype(np.float64), part.num_rows)
                 n = np.diff(offsets)
                 mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), mean], ["doc_id", "n_words", "score"])
