@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,16 +92,17 @@ def bigram_counts(flagged: DataFrame, vocab: np.ndarray, symbols: int = SYMBOLS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
+        size, limit = 0, COUNTED_PAIRS
         for batch in batches:
             for part in slices(batch, "text"):
                 pair, offsets = pairs_of(part.column("text"), sent.value, symbols)
                 own = part.column("target").to_numpy(zero_copy_only=False)[row_of(offsets)].astype(np.int64)
                 held.append(_counted(pair, own, np.ones(len(pair), np.int64)))
                 size += held[-1].shape[1]
-                if size >= COUNTED_PAIRS:
+                if size >= limit:
                     held = [_counted(*np.concatenate(held, axis=1))]
                     size = held[0].shape[1]
+                    limit = max(COUNTED_PAIRS, 2 * size)
         total = _counted(*np.concatenate(held, axis=1)) if held else np.zeros((3, 0), np.int64)
         for i in range(0, total.shape[1], 1 << 17):
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 17)]) for c in total], ["pair", "target", "background"])
@@ -134,15 +134,21 @@ def difference_table(docs: DataFrame, target_ids: DataFrame, symbols: int = SYMB
         unigrams[:, r["w"]] = r["t"], r["b"]
     sent = docs.sparkSession.sparkContext.broadcast(unigrams)
 
-    def row(rows: pd.DataFrame) -> pd.DataFrame:
-        word = (rows["pair"] % symbols).to_numpy()
-        t, b = (losses(word, rows[c].to_numpy(), u) for c, u in zip(("target", "background"), sent.value))
-        return pd.DataFrame({"h": [int(rows["pair"].iloc[0]) // symbols], "d": [(t - b).astype("<f2").tobytes()]})
+    def row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # All bigrams of some histories: symbols**2 in all partitions together, whatever the corpus.
+        pair, target, background = np.concatenate([np.stack([c.to_numpy() for c in b.columns]) for b in batches] or [np.zeros((3, 0), np.int64)], axis=1)
+        order = np.argsort(pair)
+        pair, counts = pair[order], (target[order], background[order])
+        edge = np.flatnonzero(np.concatenate([[True], pair[1:] // symbols != pair[:-1] // symbols, [True]])) if len(pair) else np.zeros(1, np.int64)
+        rows = [[losses(pair[a:b] % symbols, c[a:b], u) for c, u in zip(counts, sent.value)] for a, b in zip(edge, edge[1:])]
+        h = pa.array(pair[edge[:-1]] // symbols, pa.int64())
+        yield pa.RecordBatch.from_arrays([h, pa.array([(t - b).astype("<f2").tobytes() for t, b in rows], pa.binary())], ["h", "d"])
 
     none = np.zeros(0)
     unseen = (losses(none.astype(int), none, unigrams[0]) - losses(none.astype(int), none, unigrams[1])).astype("<f2")
     table = np.tile(unseen, symbols)
-    for r in counts.withColumn("h", F.floor(F.col("pair") / symbols)).groupBy("h").applyInPandas(row, "h long, d binary").toLocalIterator():
+    by_history = counts.repartition(F.floor(F.col("pair") / symbols)).select("pair", "target", "background")
+    for r in by_history.mapInArrow(row, "h long, d binary").toLocalIterator():
         table[r["h"] * symbols : (r["h"] + 1) * symbols] = np.frombuffer(bytes(r["d"]), "<f2")
     return vocab, table
 
