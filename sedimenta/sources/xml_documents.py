@@ -51,10 +51,9 @@ def document_schema(profile: Profile = DEFAULT) -> T.StructType:
         + under("DocumentLines/Allocation", profile.allocation) + under("DocumentLines/LineEntry/Allocation", profile.allocation)
     )
     tree = _tree(body)
-    return T.StructType(
-        [T.StructField("_invoice_id", T.StringType()), T.StructField("_corrupt_record", T.StringType())]
-        + [T.StructField(v, T.ArrayType(_type(tree))) for v in VARIANTS]
-    )
+    bodies = [T.StructField(v, T.ArrayType(_type(tree))) for v in VARIANTS]
+    # The parser takes the corrupt-record field to be the last one.
+    return T.StructType([T.StructField("_invoice_id", T.StringType()), *bodies, T.StructField("_corrupt_record", T.StringType())])
 
 
 def at_path(element: Column, path: str, schema: T.StructType) -> Column:
