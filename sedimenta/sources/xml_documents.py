@@ -104,4 +104,6 @@ def parse(texts: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
         .when(foreign, "foreign namespace")
         .when(~header, "no header")
     )
-    return texts.select("source_file", "xml", doc.alias("doc")).select("source_file", "xml", first.alias("variant"), "doc", reason.alias("skip_reason"))
+    # Generated from an array of one, the parsed document is made once and not again for each expression on it.
+    once = texts.select("source_file", "xml", F.explode(F.array(doc)).alias("doc"))
+    return once.select("source_file", "xml", first.alias("variant"), "doc", reason.alias("skip_reason"))
