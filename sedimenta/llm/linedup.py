@@ -193,7 +193,8 @@ def deduped_lines(docs: DataFrame) -> DataFrame:
     enough = F.aggregate("words", F.lit(0), lambda s, x: s + x) >= LEAST_WORDS
     known = texts.select("node", "key", F.col("doc_id").alias("first_id"), (enough & (F.col("copies") > 1)).alias("copied")).join(gone, "node", "left")
     known = cut(known.where("copied or gone is not null").select("key", "first_id", "copied", "gone"), "blocks")
-    rows = text_columns(docs, "doc_id", "text").withColumn("key", text_key()).join(known, "key", "left")
+    # The table of blocks grows with the texts, so it is merged with them at any size and never broadcast.
+    rows = text_columns(docs, "doc_id", "text").withColumn("key", text_key()).join(known.hint("merge"), "key", "left")
     later = F.coalesce(F.col("copied") & ~F.col("doc_id").eqNullSafe(F.col("first_id")), F.lit(False))
     line = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(line, lambda x, i: ~F.array_contains("gone", i)), "\n")
