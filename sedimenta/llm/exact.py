@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.llm.shared import cut, text_columns
@@ -117,7 +117,7 @@ def screen(digests: DataFrame, filters: DataFrame, shards: int, broadcast_bytes:
     return keyed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(meet, "d long")
 
 
-def exact_duplicates(parts: list[DataFrame], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def exact_duplicates(parts: list[DataFrame], broadcast_bytes: int = BROADCAST_BYTES, digest: Callable[[str], Column] = F.xxhash64) -> DataFrame:
     """(doc_id, keep_id, keep) for every row of all parts: the row that stays for its text, and whether it is this one.
 
     The parts are batches in the order in which they came; each but the last has become an immutable snapshot with
@@ -126,7 +126,7 @@ def exact_duplicates(parts: list[DataFrame], broadcast_bytes: int = BROADCAST_BY
     NULL text equals nothing, an empty text every empty text. Empty parts and an empty table are fine.
     """
     rows = reduce(DataFrame.unionByName, [
-        text_columns(p, "doc_id", "text").where("text is not null").withColumn("part", F.lit(i)).withColumn("d", F.xxhash64("text")) for i, p in enumerate(parts)
+        text_columns(p, "doc_id", "text").where("text is not null").withColumn("part", F.lit(i)).withColumn("d", digest("text")) for i, p in enumerate(parts)
     ])
     none = reduce(DataFrame.unionByName, [text_columns(p, "doc_id", "text").where("text is null").select("doc_id") for p in parts])
     digests = cut(rows.select("part", "doc_id", "d"), "digests")

@@ -16,7 +16,7 @@ from sedimenta.llm.words import distinct, row_of, slices, words_of
 #: is a dense table of SYMBOLS**2 losses, so what workers hold and what the driver sends is the same for any corpus.
 SYMBOLS = 4096
 #: Counted bigrams that a task holds before it adds up equal ones.
-COUNTED_PAIRS = 3_000_000
+COUNTED_PAIRS = 1_000_000
 #: Ids of target documents up to so many bytes are sent to the workers; more are joined.
 BROADCAST_BYTES = 64 << 20
 
@@ -57,57 +57,60 @@ def pairs_of(column: pa.Array, vocab: np.ndarray, symbols: int = SYMBOLS) -> tup
     return before * symbols + word, offsets
 
 
-def flag_target(docs: DataFrame, target_ids: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(text, target): whether the document's doc_id is among target_ids (doc_id long)."""
+def target_ids_of(target_ids: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> np.ndarray | None:
+    """The sorted distinct ids of the target documents, None if they are too many to be sent to the workers."""
     ids = target_ids.select("doc_id").where("doc_id is not null").distinct()
     if ids.count() * 8 > broadcast_bytes:
-        marked = ids.withColumn("target", F.lit(True))
-        return text_columns(docs, "doc_id", "text").join(marked, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    known = ids.toArrow().column("doc_id").to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(known))
+        return None
+    return np.sort(ids.toArrow().column("doc_id").to_numpy())
 
-    @F.arrow_udf("boolean")
-    def among(column: pa.Array) -> pa.Array:
-        own = column.fill_null(0).to_numpy(zero_copy_only=False)
-        null = column.is_null().to_numpy(zero_copy_only=False)
-        at = np.minimum(np.searchsorted(sent.value, own), max(0, len(sent.value) - 1))
-        return pa.array((sent.value[at] == own) & ~null if len(sent.value) else np.zeros(len(own), bool))
 
-    return text_columns(docs, "doc_id", "text").select("text", among("doc_id").alias("target"))
+def _among(column: pa.Array, ids: np.ndarray) -> np.ndarray:
+    own = column.fill_null(0).to_numpy(zero_copy_only=False)
+    if len(ids) == 0:
+        return np.zeros(len(own), bool)
+    at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+    return (ids[at] == own) & ~column.is_null().to_numpy(zero_copy_only=False)
 
 
 def _counted(pair: np.ndarray, target: np.ndarray, background: np.ndarray) -> np.ndarray:
     """Rows pair, target, background with the counts of equal pairs added up."""
     if len(pair) == 0:
-        return np.zeros((3, 0), np.int64)
+        return np.zeros((3, 0), np.int32)
     order = np.argsort(pair)
     pair = pair[order]
     first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-    return np.stack([pair[first], np.add.reduceat(target[order], first), np.add.reduceat(background[order], first)])
+    return np.stack([pair[first], np.add.reduceat(target[order], first), np.add.reduceat(background[order], first)]).astype(np.int32)
 
 
-def bigram_counts(flagged: DataFrame, vocab: np.ndarray, symbols: int = SYMBOLS) -> DataFrame:
+def bigram_counts(docs: DataFrame, target_ids: DataFrame, vocab: np.ndarray, symbols: int = SYMBOLS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(pair, target, background): counts of every bigram of the target texts and of all texts."""
-    sent = flagged.sparkSession.sparkContext.broadcast(vocab)
+    ids = target_ids_of(target_ids, broadcast_bytes)
+    rows = text_columns(docs, "doc_id", "text")
+    if ids is None:
+        marked = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
+        rows = rows.join(marked, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    sent = docs.sparkSession.sparkContext.broadcast((vocab, ids))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, ids = sent.value
         held: list[np.ndarray] = []
         size, limit = 0, COUNTED_PAIRS
         for batch in batches:
             for part in slices(batch, "text"):
-                pair, offsets = pairs_of(part.column("text"), sent.value, symbols)
-                own = part.column("target").to_numpy(zero_copy_only=False)[row_of(offsets)].astype(np.int64)
-                held.append(_counted(pair, own, np.ones(len(pair), np.int64)))
+                pair, offsets = pairs_of(part.column("text"), vocab, symbols)
+                own = part.column("target").to_numpy(zero_copy_only=False) if ids is None else _among(part.column("doc_id"), ids)
+                held.append(_counted(pair.astype(np.int32), own.astype(np.int32)[row_of(offsets)], np.ones(len(pair), np.int32)))
                 size += held[-1].shape[1]
                 if size >= limit:
                     held = [_counted(*np.concatenate(held, axis=1))]
                     size = held[0].shape[1]
                     limit = max(COUNTED_PAIRS, 2 * size)
-        total = _counted(*np.concatenate(held, axis=1)) if held else np.zeros((3, 0), np.int64)
+        total = _counted(*np.concatenate(held, axis=1)) if held else np.zeros((3, 0), np.int32)
         for i in range(0, total.shape[1], 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 17)]) for c in total], ["pair", "target", "background"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 17)], pa.int64()) for c in total], ["pair", "target", "background"])
 
-    counted = flagged.mapInArrow(count, "pair long, target long, background long")
+    counted = rows.mapInArrow(count, "pair long, target long, background long")
     return counted.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
@@ -128,7 +131,7 @@ def difference_table(docs: DataFrame, target_ids: DataFrame, symbols: int = SYMB
     The table holds 16-bit floats: differences are exact to three digits, and scores are means of many.
     """
     vocab = vocabulary(docs, symbols)
-    counts = cut(bigram_counts(flag_target(docs, target_ids, broadcast_bytes), vocab, symbols), "bigrams")
+    counts = cut(bigram_counts(docs, target_ids, vocab, symbols, broadcast_bytes), "bigrams")
     unigrams = np.zeros((2, symbols))
     for r in counts.groupBy(F.pmod("pair", F.lit(symbols)).alias("w")).agg(F.sum("target").alias("t"), F.sum("background").alias("b")).collect():
         unigrams[:, r["w"]] = r["t"], r["b"]

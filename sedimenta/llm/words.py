@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once, so memory doesn't follow the batch size.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 _SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
