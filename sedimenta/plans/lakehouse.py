@@ -72,7 +72,7 @@ class Lakehouse:
     def build(self) -> dict[str, DataFrame]:
         lines, invoices = self.table("line_items"), self.table("invoices")
         models = {"stg_detailed": warehouse.stage_detailed(lines, invoices), "stg_summary": warehouse.stage_summary(lines, invoices)}
-        models["int_deduped"] = warehouse.dedup_invoices(warehouse.union_variants(models["stg_detailed"], models["stg_summary"]))
+        models["int_deduped"] = warehouse.dedup_invoices(warehouse.stage_all(lines, invoices))
         self._write(warehouse.mart(models["int_deduped"]), "mart_invoices")
         return models | {"mart": self.table("mart_invoices")}
 

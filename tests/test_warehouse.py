@@ -27,13 +27,20 @@ def models(spark, texts):
     invoices, lines = landing.invoices(parsed, AT), landing.line_items(parsed, AT)
     out = {"stg_detailed": warehouse.stage_detailed(lines, invoices), "stg_summary": warehouse.stage_summary(lines, invoices)}
     out["union"] = warehouse.union_variants(out["stg_detailed"], out["stg_summary"])
+    out["all"] = warehouse.stage_all(lines, invoices)
     out["int_deduped"] = warehouse.dedup_invoices(out["union"])
     out["mart"] = warehouse.mart(out["int_deduped"]).persist()
     return out
 
 
 def test_widths(models):
-    assert {k: len(v.columns) for k, v in models.items()} == {"stg_detailed": 74, "stg_summary": 74, "union": 75, "int_deduped": 75, "mart": 81}
+    assert {k: len(v.columns) for k, v in models.items()} == {"stg_detailed": 74, "stg_summary": 74, "union": 75, "all": 75, "int_deduped": 75, "mart": 81}
+
+
+def test_one_join_gives_the_union(models):
+    assert sorted(models["all"].columns) == sorted(models["union"].columns)
+    order = models["union"].columns
+    assert sorted(map(str, models["all"].select(*order).collect())) == sorted(map(str, models["union"].collect()))
 
 
 def test_latest_version_of_a_line_wins(models):
