@@ -58,11 +58,15 @@ def observations(parsed: DataFrame) -> DataFrame:
     return known.select("source_file", "variant", "xml").mapInArrow(emit, OBSERVATION)
 
 
+def _dominant(counts: list[Column]) -> Column:
+    """The type of the highest count, the first in TYPES of equal ones; counts are in the order of TYPES."""
+    ranked = [F.struct(n.alias("n"), F.lit(-i).alias("rank"), F.lit(t).alias("type")) for i, (n, t) in enumerate(zip(counts, TYPES))]
+    return F.array_max(F.array(*ranked)).getField("type")
+
+
 def dominant_type(typed: DataFrame) -> DataFrame:
     """(field, observed_type): the most frequent type of (field, type), the first in TYPES of equally frequent ones."""
-    rank = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
-    counted = typed.groupBy("field", "type").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("field").agg(F.max_by("type", F.struct("n", -rank)).alias("observed_type"))
+    return typed.groupBy("field").agg(_dominant([F.count_if(F.col("type") == t) for t in TYPES]).alias("observed_type"))
 
 
 def first_examples(seen: DataFrame, k: int = EXAMPLES) -> DataFrame:
@@ -86,8 +90,9 @@ def field_profile(seen: DataFrame) -> DataFrame:
     sets = typed.groupBy("field").agg(
         *[F.sort_array(F.collect_set(c)).alias(n) for c, n in (("type", "all_types"), ("parent", "parents"), ("variant", "variants"))],
         F.count(F.lit(1)).alias("occurrence_count"), F.count_distinct("source_file").alias("file_count"),
+        _dominant([F.count_if(F.col("type") == t) for t in TYPES]).alias("observed_type"),
     )
-    return sets.join(dominant_type(typed.select("field", "type")), "field").join(first_examples(seen), "field")
+    return sets.join(first_examples(seen), "field")
 
 
 def dictionary(spark: SparkSession, declared: tuple[Declared, ...] = BASELINE) -> DataFrame:
@@ -128,10 +133,13 @@ def position_drift(profile: DataFrame, earlier: DataFrame) -> DataFrame:
     return profile.join(before, "field").where(F.size(extra) > 0).select(F.col("field").alias("field_name"), "known_parents", extra.alias("new_parents"))
 
 
-def compute_diff(parsed: DataFrame, run_date: str, declared: tuple[Declared, ...] = BASELINE) -> dict:
-    """The drift document: ten keys, as written to diff.json. Only profile-sized tables reach the driver."""
+def compute_diff(parsed: DataFrame, run_date: str, declared: tuple[Declared, ...] = BASELINE, seen: DataFrame | None = None) -> dict:
+    """The drift document: ten keys, as written to diff.json. Only profile-sized tables reach the driver.
+
+    seen are the observations of the documents if they are a table already; otherwise the documents are walked twice.
+    """
     spark = parsed.sparkSession
-    profile, book = field_profile(observations(parsed)).persist(), dictionary(spark, declared)
+    profile, book = field_profile(observations(parsed) if seen is None else seen).persist(), dictionary(spark, declared)
     known = parsed.where("skip_reason is null or skip_reason in ('foreign namespace', 'no header')")
     counts = {r["variant"]: r["n"] for r in known.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).orderBy("variant").collect()}
     parts = {

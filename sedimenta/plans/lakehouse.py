@@ -57,7 +57,8 @@ class Lakehouse:
         self._write(landing.quarantine(parsed), "quarantine")
 
     def diff(self) -> dict:
-        return drift.compute_diff(self.table("parsed"), self.run_date)
+        self._write(drift.observations(self.table("parsed")), "observations")
+        return drift.compute_diff(self.table("parsed"), self.run_date, seen=self.table("observations"))
 
     def map_fields(self, diff: dict) -> DataFrame | None:
         """Decisions for new fields, put into the registry unless this is a dry run; None without drift."""
