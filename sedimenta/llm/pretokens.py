@@ -87,19 +87,30 @@ def pretokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     data, offsets = raw(column)
     n = len(data)
     space = np.flatnonzero(data == 32)
-    begins = offsets[:-1][np.diff(offsets) > 0]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    begins = np.zeros(n + 1, bool)
+    begins[offsets[:-1]] = True
+    begins[n] = False
     after = np.minimum(space + 1, n - 1) if n else space
-    is_end = np.isin(space + 1, offsets[1:])
-    bad = space[_SPACE_END[data[space - 1]] & ~np.isin(space, begins) & (is_end | _SPACE_BEGIN[data[after]])]
+    bad = space[_SPACE_END[data[space - 1]] & ~begins[space] & (edge[space + 1] | _SPACE_BEGIN[data[after]])]
     if len(bad):
         whole = np.zeros(len(offsets), bool)
         whole[np.searchsorted(offsets, bad, "right") - 1] = True
         space = space[~whole[np.searchsorted(offsets, space, "right") - 1]]
-    start = np.union1d(begins, space)
+    begins[space] = True
+    start = np.flatnonzero(begins)
     end = np.append(start[1:], n)
     return data, start, end, np.searchsorted(start, offsets)
 
 
+def _first_of_each(h: np.ndarray) -> np.ndarray:
+    """A position of each distinct value."""
+    order = np.argsort(h)
+    sorted_ = h[order]
+    return order[np.concatenate([[True], sorted_[1:] != sorted_[:-1]])]
+
+
 class PreTokenizer:
     """Token ids of pre-tokens, kept in a bounded cache of one worker."""
 
@@ -138,11 +149,10 @@ class PreTokenizer:
         at = self.table.find(h, c)
         new = np.flatnonzero(at < 0)
         if len(new):
-            _, first = np.unique(h[new], return_index=True)
-            first = new[first]
+            first = new[_first_of_each(h[new])]
             if self.table.used + len(first) > (1 << self.bits) // 2:
                 # All of this batch must be in the table at once.
-                _, first = np.unique(h, return_index=True)
+                first = _first_of_each(h)
                 self._room(len(first))
                 new = np.arange(len(h))
             self._store(data, start[first], end[first], h[first], c[first])
