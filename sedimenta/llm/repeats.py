@@ -17,19 +17,19 @@ SPAN = 50
 #: Words of the fingerprints that say where a repeat can be: of the SPAN - GRAM + 1 in any passage the least is taken.
 GRAM = 25
 #: Words of candidate regions that one suffix array is built of, about.
-BLOCK_WORDS = 300_000
+BLOCK_WORDS = 150_000
 _LAST = 2**63 - 1
 
 
-def fingerprints(h: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are the least one of some passage of span words of a row.
+def owners(h: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, owner, hashes): starts of the passages of span words within rows, the place of the least gram of each,
+    the rightmost of equal ones, and the hashes of all grams.
 
-    Equal passages have the same least gram, at the same place (the rightmost of equal ones), so every passage that
-    repeats contains a fingerprint that repeats.
+    Equal passages have equal least grams at the same place in them.
     """
     n = len(h) - gram + 1
     if n <= span - gram:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     g = _run(h, slice(None), gram, n)
     low = np.uint64((1 << int(n).bit_length()) - 1)
     least = (g & ~low) | (low - np.arange(n, dtype=np.uint64))
@@ -38,8 +38,14 @@ def fingerprints(h: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int
         step = min(have, width - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    inside = np.arange(len(least)) + span <= offsets[1:][row_of(offsets)[: len(least)]]
-    at = distinct((low - (least[inside] & low)).astype(np.int64))
+    start = np.flatnonzero(np.arange(len(least)) + span <= offsets[1:][row_of(offsets)[: len(least)]])
+    return start, (low - (least[start] & low)).astype(np.int64), g
+
+
+def fingerprints(h: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the grams that own a passage: one that repeats has an owner that repeats."""
+    _, owner, g = owners(h, offsets, span, gram)
+    at = distinct(owner)
     return at, g[at]
 
 
@@ -65,15 +71,18 @@ class Block:
         self.rank: list[int] = []
         self.node: list[int] = []
         self.where: list[np.ndarray] = []
+        self.begins: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, h: np.ndarray, at: np.ndarray, rank: int, node: int, gram: int = GRAM) -> None:
-        """The parts of a text in which passages can lie that hold the grams at `at`."""
-        change = np.zeros(len(h) + 1, np.int64)
-        np.add.at(change, np.maximum(at - (self.span - gram), 0), 1)
-        np.add.at(change, np.minimum(at + self.span, len(h)), -1)
+    def add(self, h: np.ndarray, start: np.ndarray, rank: int, node: int) -> None:
+        """The parts of a text that the passages from `start` on cover."""
+        change, begins = np.zeros(len(h) + 1, np.int64), np.zeros(len(h), bool)
+        change[start] += 1
+        change[start + self.span] -= 1
+        begins[start] = True
         where = np.flatnonzero(np.cumsum(change[:-1]) > 0)
         self.words.append(h[where])
+        self.begins.append(begins[where])
         self.where.append(where)
         self.rank.append(rank)
         self.node.append(node)
@@ -102,7 +111,9 @@ class Block:
         back = np.full(n + regions, -1)
         back[slot] = np.arange(n)
         suffix = suffix_array(symbols)
-        suffix = suffix[left[suffix] >= self.span]
+        begins = np.zeros(n + regions, bool)
+        begins[slot] = np.concatenate(self.begins)
+        suffix = suffix[begins[suffix] & (left[suffix] >= self.span)]
         one, two = suffix[:-1], suffix[1:]
         wide = np.zeros(n + regions, np.uint64)
         wide[slot] = h
@@ -130,7 +141,10 @@ def _flush(block: Block) -> pa.RecordBatch:
     owner = np.repeat(np.arange(len(starts)), ends - starts)
     order = np.lexsort((at, node, rank, owner))
     members = pa.StructArray.from_arrays([pa.array(rank[order]), pa.array(node[order]), pa.array(at[order], pa.int32())], fields=list(_MEMBER))
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), members)
+    # A group of one is its least member, so it has no list.
+    many = ends - starts > 1
+    sizes = np.concatenate([[0], np.cumsum(np.where(many, ends - starts, 0))])
+    lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), members.filter(pa.array(many[owner])))
     return pa.RecordBatch.from_arrays(
         [pa.array(h1[starts].view(np.int64)), pa.array(h2[starts].view(np.int64)), pa.array(ends - starts, pa.int32()), members.take(pa.array(starts)), lists],
         ["h1", "h2", "n", "least", "members"],
@@ -142,11 +156,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             h, offsets = words_of(part.column("text"))
+            start, owner, _ = owners(h, offsets)
+            cut_at = np.searchsorted(start, offsets)
             ranks, nodes, places = part.column("rank").to_pylist(), part.column("node").to_pylist(), part.column("at")
             for i, (rank, node) in enumerate(zip(ranks, nodes)):
                 if node not in seen:
                     seen.add(node)
-                    block.add(h[offsets[i] : offsets[i + 1]], places[i].values.to_numpy().astype(np.int64), rank, node)
+                    own = slice(cut_at[i], cut_at[i + 1])
+                    repeated = np.isin(owner[own] - offsets[i], places[i].values.to_numpy())
+                    block.add(h[offsets[i] : offsets[i + 1]], start[own][repeated] - offsets[i], rank, node)
                     if block.size >= BLOCK_WORDS:
                         yield _flush(block)
                         block, seen = Block(), set()
@@ -175,7 +193,8 @@ def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     local = found.repartition("home").mapInArrow(_blocks, _GROUP)
     by = Window.partitionBy("h1", "h2")
     met = local.withColumn("first", F.min("least").over(by)).withColumn("total", F.sum("n").over(by)).where("total > 1")
-    again = met.select("first", F.explode("members").alias("m")).where("m.node <> first.node or m.at <> first.at")
+    members = F.when(F.col("n") == 1, F.array("least")).otherwise(F.col("members"))
+    again = met.select("first", F.explode(members).alias("m")).where("m.node <> first.node or m.at <> first.at")
     again = again.select("m.node", "m.at", F.col("first.node").alias("first_node")).distinct()
     order = Window.partitionBy("node", "first_node").orderBy("at")
     step = again.withColumn("fresh", (F.col("at") > F.lag("at", 1, -2).over(order) + 1).cast("int"))
