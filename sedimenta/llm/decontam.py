@@ -64,7 +64,8 @@ class Index:
         self.parts = []
         for w in words:
             cut = len(w) - max(1, int(len(w) * ANSWER_SHARE))
-            self.parts.append(tuple(np.unique(grams_of(p, np.array([0, len(p)]), GRAM)[0]) for p in (w[:cut], w[cut:])))
+            # Question and answer, each as the words of its grams and the distinct grams.
+            self.parts.append([(min(GRAM, len(p)), distinct(grams_of(p, np.array([0, len(p)]), GRAM)[0])) for p in (w[:cut], w[cut:])])
 
     @staticmethod
     def _expand(at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,10 +157,8 @@ def _matches(index: Index, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     q, a = np.zeros(len(where)), np.zeros(len(where))
     for i, (b, r, t) in enumerate(zip(begin.tolist(), owner.tolist(), item.tolist())):
         words = h[b : min(b + 2 * half, int(offsets[r + 1]))]
-        for out, part, k in ((q, index.parts[t][0], 0), (a, index.parts[t][1], 1)):
-            n = min(GRAM, len(index.words[t]) - max(1, int(len(index.words[t]) * ANSWER_SHARE)) if k == 0 else max(1, int(len(index.words[t]) * ANSWER_SHARE)))
-            have = grams_of(words, np.array([0, len(words)]), n)[0]
-            out[i] = np.isin(part, have).mean() if len(part) else 1.0
+        for out, (n, part) in zip((q, a), index.parts[t]):
+            out[i] = np.isin(part, grams_of(words, np.array([0, len(words)]), n)[0]).mean()
     good = (q >= OVERLAP) & (a >= OVERLAP)
     return owner[good], item[good], score[good], q[good], a[good]
 
