@@ -122,6 +122,21 @@ def test_op2_odd(spark):
     assert lmscore.score(empty(spark), none, 64).count() == 0
 
 
+def test_op2_counts_every_word(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(k, " ".join(f"t{r.randrange(6000)}" if r.random() < 0.7 else f"r{k}x{j}" for j in range(400))) for k in range(40)] + [(None, None), (77, "")]
+    target = {0, 3, 6, 9}
+    ids = spark.createDataFrame([(i,) for i in target], "doc_id long")
+    kinds = len({w for _, t in rows for w in (t or "").split()})
+    assert kinds > 4096
+    want = {i: s for i, _, s in brute_scores(rows, target, kinds + 2)}
+    for tokens in (lmscore.PART_TOKENS, 700):
+        monkeypatch.setattr(lmscore, "PART_TOKENS", tokens)
+        got = {x.doc_id: x.score for x in lmscore.score(table(spark, rows), ids).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i] is want[i] is None or abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 # ---------------------------------------------------------------- 3 exact dedup
 
 def brute_exact(parts):
