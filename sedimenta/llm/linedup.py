@@ -17,8 +17,8 @@ from sedimenta.llm.words import CLASS, hash_spans, mix, raw, row_of, slices
 
 #: A line is rare if so many distinct texts have it at most; all pairs of them are aligned.
 RARE = 8
-#: Words that a common block has at least to be deleted.
-LEAST_WORDS = 20
+#: Words that a common block has at least to be deleted: one full line of boilerplate is enough.
+LEAST_WORDS = 5
 _LAST = 2**63 - 1
 
 
@@ -162,8 +162,9 @@ def overlapping(texts: DataFrame) -> DataFrame:
     """(early, node): pairs of texts to be aligned.
 
     All texts of a rare line are paired with one another. Blocks whose lines are all frequent are covered by their
-    runs: each text is paired with the earliest one that has the same run, so pairs grow with the texts and not
-    with their square, and every common block long enough to be deleted is in some pair.
+    runs: each text is paired with the RARE earliest ones that have the same run, so pairs grow with the texts and not
+    with their square, and every common block long enough to be deleted is in some pair. It stays only where it
+    crosses longer common blocks in all of these pairs.
     """
     line = texts.select("rank", "node", F.explode(F.array_distinct("lines")).alias("h")).where("h <> 0")
     by = Window.partitionBy("h")
@@ -172,8 +173,10 @@ def overlapping(texts: DataFrame) -> DataFrame:
     one = group.select(F.posexplode("m").alias("i", "one"), "m").select("one", F.explode(F.slice("m", F.lit(1), F.col("i"))).alias("other"))
     rare = one.select(F.col("other.node").alias("early"), F.col("one.node").alias("node"))
     run = texts.select(F.struct("rank", "node").alias("own"), F.explode(F.array_distinct("runs")).alias("h"))
-    star = run.select("own", F.min("own").over(by).alias("first")).where("own <> first")
-    return rare.union(star.select(F.col("first.node").alias("early"), F.col("own.node").alias("node"))).distinct()
+    nth = run.withColumn("nth", F.row_number().over(by.orderBy("own")))
+    first = F.collect_list(F.when(F.col("nth") <= RARE, F.col("own.node"))).over(by.orderBy("own").rowsBetween(Window.unboundedPreceding, -1))
+    star = nth.withColumn("first", first).where("nth > 1").select(F.explode("first").alias("early"), F.col("own.node").alias("node"))
+    return rare.union(star).distinct()
 
 
 def deduped_lines(docs: DataFrame) -> DataFrame:

@@ -279,6 +279,16 @@ def test_op6_frequent_lines_are_covered(spark):
     assert linedup.deduped_lines(odd(spark)).count() == odd(spark).count()
 
 
+def test_op6_short_frequent_lines_are_deleted(spark):
+    once = lambda k, n: " ".join(f"own{k}x{j}" for j in range(n))
+    nine, six, four = (" ".join(f"{c}{j}" for j in range(n)) for c, n in (("n", 9), ("s", 6), ("f", 4)))
+    rows = [(k, "\n".join([once(k, 12), nine, once(1000 + k, 7), *[six] * (k % 2), once(2000 + k, 9), four])) for k in range(4 * linedup.RARE)]
+    got = rows_of(linedup.deduped_lines(table(spark, rows)))
+    assert got == brute_lines(rows)
+    kept = [t for _, t, _ in got]
+    assert [sum(x in t.split("\n") for t in kept) for x in (nine, six, four)] == [1, 1, len(rows)]
+
+
 # ---------------------------------------------------------------- 7 suffix-array dedup
 
 def test_op7_against_brute_force(spark, monkeypatch):
