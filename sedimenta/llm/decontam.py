@@ -58,7 +58,7 @@ class Index:
         self.block_most = np.maximum.reduceat(impact, first) if len(impact) else np.zeros(0)
         self.block_at = np.searchsorted(self.block_term, np.arange(len(self.terms) + 1))
         self.blocks = len(words) // BLOCK_ITEMS + 1
-        # Terms of long lists and little impact are bounded by their list's maximum and not opened until the end.
+        # The other terms have long lists and little impact: search() opens them only where their bounds call for it.
         self.essential = df <= max(1, items // 4)
         self.passage = max(PASSAGE, 2 * max([1, *map(len, words)]))
         self.parts = []
@@ -79,13 +79,20 @@ class Index:
         """(passage, item, score) of all items that score SCORE or more for passages given as distinct terms.
 
         Bounds as in block-max WAND, for all passages at once: a passage is left if the sum of its lists' maxima is
-        too small, a block of items if the sum of the block's maxima is; the rest is scored in full.
+        too small, a block of items if the sum of the block's maxima is; the rest is scored in full. Terms that are
+        not essential open no block as long as the sum of their lists' maxima is below SCORE in the passage, so that no
+        item can reach SCORE by them alone; those of the greatest maxima beyond that count as essential there.
         """
         slack = SCORE - 1e-9
         alive = np.bincount(passage, self.most[term], n) >= slack
         keep = alive[passage]
         passage, term = passage[keep], term[keep]
         ess = self.essential[term]
+        other = np.flatnonzero(~ess)
+        other = other[np.lexsort((self.most[term[other]], passage[other]))]
+        total = np.cumsum(self.most[term[other]])
+        begin = np.searchsorted(passage[other], passage[other])
+        ess[other[total - (total[begin] - self.most[term[other]][begin]) >= slack - 1e-9]] = True
         rest = np.bincount(passage[~ess], self.most[term[~ess]], n)
         alive = (np.bincount(passage[ess], self.most[term[ess]], n) + rest >= slack)[passage] & ess
         at, which = self._expand(self.block_at, term[alive])

@@ -180,3 +180,21 @@ def test_fingerprints_cover_every_passage():
             assert ((at >= s) & (at <= s + repeats.SPAN - repeats.GRAM)).any()
     shared = [v for v, ps in where.items() if len(ps) > 1]
     assert len(shared) >= 2
+
+
+@pytest.mark.parametrize("copies, others", [(2, 0), (4, 4), (3, 2), (1, 1)])
+def test_repeated_items_and_tiny_benchmarks_are_found(copies, others):
+    r = random.Random(copies)
+    text = [" ".join(r.choices([f"w{i}" for i in range(40)], k=24)) for _ in range(1 + others)]
+    items = [words.words_of(pa.array([t]))[0] for t in [text[0]] * copies + text[1:]]
+    index = decontam.Index(list(range(len(items))), items, None, len(items), 24)
+    row, item, score, _, _ = decontam._matches(index, pa.array([*text, "nothing of it"]))
+    found = set(zip(row.tolist(), item.tolist()))
+    assert {(0, k) for k in range(copies)} | {(1 + k, copies + k) for k in range(others)} <= found
+    for t, own in enumerate(text):
+        term = np.searchsorted(index.terms, np.unique(words.words_of(pa.array([own]))[0]))
+        _, hit, value = index.search(np.zeros(len(term), np.int64), term, 1)
+        whole = np.zeros(len(items))
+        for x in term:
+            whole[index.item[index.at[x] : index.at[x + 1]]] += index.impact[index.at[x] : index.at[x + 1]]
+        assert {k: round(v, 6) for k, v in zip(hit.tolist(), value)} == {k: round(v, 6) for k, v in enumerate(whole) if v >= decontam.SCORE - 1e-9}
