@@ -183,7 +183,7 @@ def near_groups(docs: DataFrame, component_rows: int = COMPONENT_ROWS) -> tuple[
         sorted_rows = found.select("root", "node", "text").repartition("root").sortWithinPartitions("root")
         checked = sorted_rows.mapInArrow(_verify, "a long, b long")
         return texts, checked.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    # Components that one task couldn't hold: each star edge is verified by itself, wherever its texts are.
+    # Components that one task couldn't hold: first each star edge is verified by itself, wherever its texts are.
     found = cut(found.select("root", "node", "text").dropDuplicates(["node"]).join(size, "root"), "members")
     small = found.where(F.col("members") <= component_rows).select("root", "node", "text")
     checked = small.repartition("root").sortWithinPartitions("root").mapInArrow(_verify, "a long, b long")
@@ -193,7 +193,20 @@ def near_groups(docs: DataFrame, component_rows: int = COMPONENT_ROWS) -> tuple[
         .join(big.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b").mapInArrow(_pairs_similar, "a long, b long")
     )
-    linked = components(pairs)
+    # Bands that the stars left in more than one group are compared in full: in one task each, a larger band in tasks
+    # of two of its chunks. Bands of the same members are compared once.
+    near = cut(pairs, "near")
+    member = in_band.join(big.select("node"), "node").join(components(near), "node", "left").select("band", "node", F.coalesce("root", "node").alias("own"))
+    seen = member.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.min("own").alias("one"), F.max("own").alias("other"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")
+    )
+    left = seen.where("one <> other").groupBy("n", "print").agg(F.min("band").alias("band"))
+    chunks = F.when(F.col("n") > component_rows, F.ceil(2 * F.col("n") / component_rows)).otherwise(1)
+    split = member.join(left.select("band", chunks.cast("long").alias("chunks")), "band").withColumn("c", F.pmod(F.xxhash64("node"), "chunks"))
+    split = split.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    task = split.select(F.xxhash64("band", F.least("c", "k"), F.greatest("c", "k")).alias("root"), "node")
+    again = task.join(big.select("node", "text"), "node").select("root", "node", "text").repartition("root").sortWithinPartitions("root")
+    linked = components(near.unionByName(again.mapInArrow(_verify, "a long, b long").where("a <> b")))
     return texts, linked.unionByName(checked.select(F.col("a").alias("node"), F.col("b").alias("root")))
 
 

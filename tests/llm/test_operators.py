@@ -391,6 +391,19 @@ def test_op10_against_brute_force(spark, limit, monkeypatch):
     assert np.mean([got[i] == keep[i] for i in keep]) >= 0.95 and len(set(got.values())) == 12
 
 
+@pytest.mark.parametrize("limit", [neardup.COMPONENT_ROWS, 1, 3])
+def test_op10_pairs_led_by_a_text_unlike_them(spark, limit, monkeypatch):
+    # One band for all texts, led by a text that is like none of them.
+    monkeypatch.setattr(neardup, "distinct_texts", lambda docs: docs.select("doc_id", neardup.text_key().alias("key")).withColumn("bands", neardup.F.array(neardup.F.lit(7).cast("long"))).withColumn("node", neardup.F.col("doc_id")))
+    texts = [prose(700), *[prose(701 + k // 2) + " end" * (k % 2) for k in range(6)]]
+    rows = table(spark, list(enumerate(texts)))
+    _, groups = neardup.near_groups(rows, limit)
+    found = {}
+    for r in groups.collect():
+        found.setdefault(r.root, set()).add(r.node)
+    assert {frozenset(g) for g in found.values() if len(g) > 1} == {frozenset(x) for x in ((1, 2), (3, 4), (5, 6))}
+
+
 def test_op10_odd(spark):
     out = rows_of(neardup.near_duplicates(odd(spark)))
     assert sum(out.values()) == odd(spark).count()
