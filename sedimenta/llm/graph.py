@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.shared import cut
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One round: every node links its larger (large) or all its smaller (small) neighbours to its least one."""
+    """One round: every node links its larger (large) or all its smaller (small) neighbours to its least one.
+
+    The least neighbour is an aggregate that is combined before the shuffle and joined back, so the rows of a node of
+    very many neighbours are never sorted in one task; the join splits them where it finds skew.
+    """
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a")).alias("m")
-    seen = both.select("a", "b", least)
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    seen = both.join(least, "a").select("a", "b", F.least("m", "a").alias("m"))
     if large:
         out = seen.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -6,19 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.graph import components
-from sedimenta.llm.shared import cut, text_columns, text_key
+from sedimenta.llm.shared import cut, text_columns, text_key, unused
 from sedimenta.llm.words import distinct, grams_of, mix, slices, words_of
 
 SHINGLE = 3
 BINS = 128
 ROWS = 4
 THRESHOLD = 0.55
-#: Candidate components of more texts than this are verified edge by edge instead of in one task.
-COMPONENT_ROWS = 20_000
+#: Texts of a band that one task compares, about; it decides how the work is cut and nothing else.
+TASK_TEXTS = 1_000
+#: Elements of up to so many sets of a task are counted pair by pair, others by matrix products.
+FEW = 32
 
 _NONE = np.uint64(2**64 - 1)
 
@@ -75,90 +77,96 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def jaccard_to_all(one: np.ndarray, values: np.ndarray, owner: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of one sorted set to each of the sets given flat."""
-    if len(one) == 0:
-        return np.zeros(len(size))
-    at = np.minimum(np.searchsorted(one, values), len(one) - 1)
-    both = np.bincount(owner[one[at] == values], minlength=len(size))
-    return both / (len(one) + size - both)
+def similar_pairs(sets: list[np.ndarray], ones: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the sorted sets i among `ones` and j among all that have at least that Jaccard similarity, i <> j.
 
-
-def verified_groups(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray:
-    """Component number of each set in the graph that joins sets of at least that Jaccard similarity.
-
-    First every set joins the first leader that it is similar to; then each set outside the largest cluster is
-    compared with all sets, so clusters that only meet through followers are joined as well. Comparisons left out
-    are those of two sets of the largest cluster, which are connected already.
+    Sizes of intersections are added up over the elements that several sets have: one by one those of few sets, and
+    as a matrix product those of many.
     """
     n = len(sets)
-    size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(n), size)
-    group = np.full(n, -1)
-    values, owners = flat, owner
-    for i in range(n):
-        if group[i] < 0:
-            near = jaccard_to_all(sets[i], values, owners, size) >= threshold
-            near[i] = True
-            group[near & (group < 0)] = i
-            left = group[owners] < 0
-            if not left.all():
-                values, owners = values[left], owners[left]
-    if n > 2 and len(np.unique(group)) > 1:
-        largest = np.bincount(group).argmax()
-        for i in np.flatnonzero(group != largest):
-            for other in np.unique(group[jaccard_to_all(sets[i], flat, owner, size) >= threshold]):
-                group[group == other] = group[i] if group[i] != other else other
-    return group
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by root; emits (a, b): node and the least node of its verified group."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat, owner = (np.concatenate(sets), np.repeat(np.arange(n), size)) if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    term = np.cumsum(np.concatenate([[True], flat[1:] != flat[:-1]])) - 1 if len(flat) else np.zeros(0, np.int64)
+    df = np.bincount(term)
+    at_one = np.full(n, -1)
+    at_one[ones] = np.arange(len(ones))
+    both = np.zeros((len(ones), n), np.float32)
+    few = np.flatnonzero((df[term] > 1) & (df[term] <= FEW) & (at_one[owner] >= 0))
+    begin = np.cumsum(df) - df
+    for k in range(0, len(few), 1 << 18):
+        part = few[k : k + (1 << 18)]
+        own, times = term[part], df[term[part]]
+        other = owner[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin[own], times)]
+        both += np.bincount(np.repeat(at_one[owner[part]], times) * n + other, minlength=len(ones) * n).reshape(both.shape)
+    many = np.flatnonzero(df > FEW)
+    for k in range(0, len(many), 2048):
+        used = many[k : k + 2048]
+        column = np.full(len(df), -1)
+        column[used] = np.arange(len(used))
+        here = np.flatnonzero(column[term] >= 0)
+        has = np.zeros((n, len(used)), np.float32)
+        has[owner[here], column[term[here]]] = 1
+        both += has[ones] @ has.T
+    near = (both > 0) & (both >= threshold * (size[ones][:, None] + size[None, :] - both))
+    near[np.arange(len(ones)), ones] = False
+    i, j = np.nonzero(near)
+    return ones[i], j
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    values, offsets = column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets = _sets(part.column("text"))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["node", "grams"])
+
+
+def _stars_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        one, two = _lists(batch.column("grams_a")), _lists(batch.column("grams_b"))
+        keep = [(n := len(np.intersect1d(x, y, True))) > 0 and n >= THRESHOLD * (len(x) + len(y) - n) for x, y in zip(one, two)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _tasks_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by task; emits the pairs of groups (a, b) that a similar pair of texts of a task joins."""
     held: list[pa.RecordBatch] = []
 
     def done(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        root, node = (table.column(c).to_numpy() for c in ("root", "node"))
-        texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-        sets = _sets(texts)
-        edge = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1], [True]]))
-        a, b = [], []
+        task, node, own, one = (table.column(c).to_numpy() for c in ("task", "node", "own", "one"))
+        sets = _lists(table.column("grams").chunk(0))
+        edge = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
+        found = [np.zeros((0, 2), np.int64)]
         for i, j in zip(edge, edge[1:]):
-            own, first = np.unique(node[i:j], return_index=True)
-            group = verified_groups([sets[i + k] for k in first])
-            for g in np.unique(group):
-                members = own[group == g]
-                a.append(members)
-                b.append(np.full(len(members), members.min()))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            a, b = similar_pairs(sets[i:j], np.flatnonzero(one[i:j]))
+            a, b = own[i + a], own[i + b]
+            found.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0))
+        both = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        last = batch.column("root")[batch.num_rows - 1].as_py()
-        root = batch.column("root").to_numpy()
-        split = int(np.flatnonzero(root == last)[0])
-        if held and held[0].column("root")[0].as_py() != root[0]:
-            yield done(pa.Table.from_batches(held))
-            held = []
-        if split > 0:
+        task = batch.column("task").to_numpy()
+        split = int(np.searchsorted(task, task[-1]))
+        if held and (split > 0 or held[0].column("task")[0].as_py() != task[0]):
             yield done(pa.Table.from_batches([*held, batch.slice(0, split)]))
             held = []
+        elif split > 0:
+            yield done(pa.Table.from_batches([batch.slice(0, split)]))
         held.append(batch.slice(split))
     if held:
         yield done(pa.Table.from_batches(held))
 
 
-def _pairs_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text_a"):
-            one, two = _sets(part.column("text_a")), _sets(part.column("text_b"))
-            keep = [len(np.intersect1d(x, y, True)) >= THRESHOLD * len(np.union1d(x, y)) for x, y in zip(one, two)]
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(node, key, doc_id, bands), one row for each distinct text: the exact copies are collapsed before banding."""
     rows = text_columns(docs, "doc_id", "text").where("text is not null").withColumn("key", text_key())
@@ -167,47 +175,52 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return cut(one.withColumn("node", F.monotonically_increasing_id()), "texts")
 
 
-def near_groups(docs: DataFrame, component_rows: int = COMPONENT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(texts, groups): distinct_texts and (node, root) of the texts that are in a verified group of two or more."""
+def near_groups(docs: DataFrame, task_texts: int = TASK_TEXTS) -> tuple[DataFrame, DataFrame]:
+    """(texts, groups): distinct_texts and (node, root) of the texts that are in a group of two or more.
+
+    Groups are the components of the graph that joins two texts if they share a band and have the threshold's
+    similarity, whatever the sizes of bands and groups and whatever task_texts. First each text is compared with the
+    least of each of its bands; what that joins needs no further comparison. In bands that are left with several
+    groups the texts outside the largest one are compared with all, in tasks of a part of the ones and a part of the
+    others, about task_texts each.
+    """
     texts = distinct_texts(docs)
     in_band = texts.select("node", F.explode("bands").alias("band"))
-    star = in_band.select("node", F.min("node").over(Window.partitionBy("band")).alias("lead")).where("node <> lead")
-    edges = cut(star.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "candidates")
-    member = cut(components(edges), "components")
-    size = member.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    large = [r.root for r in size.where(F.col("members") > component_rows).select("root").limit(1).collect()]
+    shared = in_band.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1").select("band", "lead")
+    member = cut(in_band.join(shared, "band").select("band", "node", "lead"), "bands")
+    wanted = member.select("node").distinct().join(texts.select("node", "key", F.col("doc_id").alias("least_id")), "node")
     source = text_columns(docs, "doc_id", "text").where("text is not null").withColumn("key", text_key())
-    wanted = member.join(texts.select("node", "key", F.col("doc_id").alias("least_id")), "node")
-    found = source.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("least_id")))
-    if not large:
-        sorted_rows = found.select("root", "node", "text").repartition("root").sortWithinPartitions("root")
-        checked = sorted_rows.mapInArrow(_verify, "a long, b long")
-        return texts, checked.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    # Components that one task couldn't hold: first each star edge is verified by itself, wherever its texts are.
-    found = cut(found.select("root", "node", "text").dropDuplicates(["node"]).join(size, "root"), "members")
-    small = found.where(F.col("members") <= component_rows).select("root", "node", "text")
-    checked = small.repartition("root").sortWithinPartitions("root").mapInArrow(_verify, "a long, b long")
-    big = found.where(F.col("members") > component_rows)
-    pairs = (
-        edges.join(big.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(big.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b").mapInArrow(_pairs_similar, "a long, b long")
-    )
-    # Bands that the stars left in more than one group are compared in full: in one task each, a larger band in tasks
-    # of two of its chunks. Bands of the same members are compared once.
-    near = cut(pairs, "near")
-    member = in_band.join(big.select("node"), "node").join(components(near), "node", "left").select("band", "node", F.coalesce("root", "node").alias("own"))
-    seen = member.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.min("own").alias("one"), F.max("own").alias("other"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")
-    )
-    left = seen.where("one <> other").groupBy("n", "print").agg(F.min("band").alias("band"))
-    chunks = F.when(F.col("n") > component_rows, F.ceil(2 * F.col("n") / component_rows)).otherwise(1)
-    split = member.join(left.select("band", chunks.cast("long").alias("chunks")), "band").withColumn("c", F.pmod(F.xxhash64("node"), "chunks"))
-    split = split.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    task = split.select(F.xxhash64("band", F.least("c", "k"), F.greatest("c", "k")).alias("root"), "node")
-    again = task.join(big.select("node", "text"), "node").select("root", "node", "text").repartition("root").sortWithinPartitions("root")
-    linked = components(near.unionByName(again.mapInArrow(_verify, "a long, b long").where("a <> b")))
-    return texts, linked.unionByName(checked.select(F.col("a").alias("node"), F.col("b").alias("root")))
+    found = source.join(wanted, (source["key"] == wanted["key"]) & source["doc_id"].eqNullSafe(wanted["least_id"])).select("node", "text")
+    # Rows that repeat doc_id and text are one text.
+    sets = cut(found.mapInArrow(_grams, "node long, grams array<long>").groupBy("node").agg(F.first("grams").alias("grams")), "sets")
+    edges = member.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
+    pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
+    own = cut(components(pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(_stars_similar, "a long, b long")), "groups")
+    more = cut(_between_groups(member, own, sets, task_texts), "links")
+    linked = components(more).select(F.col("node").alias("own"), F.col("root").alias("top"))
+    known = own.join(linked, own["root"] == linked["own"], "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = linked.join(own, linked["own"] == own["node"], "left_anti").select(F.col("own").alias("node"), F.col("top").alias("root"))
+    return texts, known.unionByName(alone)
+
+
+def _between_groups(member: DataFrame, own: DataFrame, sets: DataFrame, task_texts: int) -> DataFrame:
+    """(a, b): groups that a similar pair of texts joins, of all pairs that share a band and are in different groups."""
+    placed = member.select("band", "node").join(own, "node", "left").select("band", "node", F.coalesce("root", "node").alias("own"))
+    parts = placed.groupBy("band", "own").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print"))
+    bands = parts.groupBy("band").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "own")).alias("main"), F.sum("print").alias("print"), F.count(F.lit(1)).alias("groups")
+    ).where("groups > 1")
+    # Bands of the same texts are looked at once.
+    bands = bands.groupBy("n", "print").agg(F.min(F.struct("band", F.col("main.own").alias("main"), F.col("main.n").alias("most"))).alias("b"))
+    tasks = lambda n: F.ceil(n / F.lit(task_texts)).cast("long")
+    bands = bands.select("b.band", "b.main", tasks(F.col("n") - F.col("b.most")).alias("few"), tasks(F.col("n")).alias("all"))
+    rows = placed.join(bands, "band").withColumn("i0", F.pmod(F.xxhash64("node"), "few")).withColumn("j0", F.pmod(F.xxhash64("node", "band"), "all"))
+    other = F.col("own") != F.col("main")
+    every = rows.select("band", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).alias("i"), F.col("j0").alias("j"), (other & (F.col("i") == F.col("i0"))).alias("one"))
+    again = rows.where(other).select("band", "node", "own", F.col("i0").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"), "j0").where("j <> j0")
+    meet = every.unionByName(again.drop("j0").withColumn("one", F.lit(True))).select(F.xxhash64("band", "i", "j").alias("task"), "node", "own", "one")
+    return meet.join(sets, "node").repartition("task").sortWithinPartitions("task").mapInArrow(_tasks_similar, "a long, b long").distinct()
 
 
 def keepers(docs: DataFrame) -> DataFrame:
@@ -216,12 +229,13 @@ def keepers(docs: DataFrame) -> DataFrame:
     The text of the least doc_id of a group stays, a NULL doc_id being greater than all; the digest breaks ties.
     """
     texts, groups = near_groups(docs)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).over(Window.partitionBy("root"))
-    return (
-        texts.select("node", "key", "doc_id").join(groups, "node", "left")
-        .withColumn("root", F.coalesce("root", "node")).withColumn("best", best)
-        .select("key", F.col("best.key").alias("keep_key"), F.col("best.doc_id").alias("keep_id"))
-    )
+    grouped = texts.select("node", "key", "doc_id").join(groups, "node")
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    chosen = grouped.join(best, "root").select("node", "best")
+    single = F.col("best").isNull()
+    return texts.select("node", "key", "doc_id").join(chosen, "node", "left").select(
+        "key", F.when(single, F.col("key")).otherwise(F.col("best.key")).alias("keep_key"), F.when(single, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id")
+    )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -233,19 +247,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kept with keep_id its own doc_id. An empty table gives an empty result.
     """
     rows = text_columns(docs, "doc_id", "text").select("doc_id", text_key().alias("key"))
-    order = F.row_number().over(Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_last()))
-    own = rows.where("key is not null").withColumn("nth", order).join(keepers(docs), "key")
-    kept = own.select("doc_id", "keep_id", ((F.col("nth") == 1) & (F.col("key") == F.col("keep_key"))).alias("keep"))
+    # Copies of one text are rows of one key only as long as their doc_ids differ: those that repeat are counted.
+    own = rows.where("key is not null").groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n")).join(keepers(docs), "key")
+    best = (F.col("key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    each = own.select("doc_id", "keep_id", best.alias("best"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    kept = each.select("doc_id", "keep_id", (F.col("best") & (F.col("nth") == 1)).alias("keep"))
     return kept.unionByName(rows.where("key is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(True).alias("keep")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with one document of each group; see near_duplicates for the cases."""
-    key = "__near_key"
-    best = keepers(docs).where("key = keep_key").select(F.col("key").alias("__k"), F.col("keep_id").alias("__id"))
+    key, best_key, best_id = unused(docs, "near_key", "best_key", "best_id")
+    best = keepers(docs).where("key = keep_key").select(F.col("key").alias(best_key), F.col("keep_id").alias(best_id))
     marked = docs.withColumn(key, F.unhex(F.md5(F.encode(docs["text"], "UTF-8"))))
-    joined = marked.join(best, (marked[key] == best["__k"]) & marked["doc_id"].eqNullSafe(best["__id"]), "left")
-    kept = joined.where(F.col(key).isNull() | F.col("__k").isNotNull())
+    joined = marked.join(best, (marked[key] == best[best_key]) & marked["doc_id"].eqNullSafe(best[best_id]), "left")
+    kept = joined.where(F.col(key).isNull() | F.col(best_key).isNotNull())
     again = text_columns(docs, "doc_id", "text").where("text is not null").groupBy("doc_id", text_key().alias("k")).count().where("count > 1")
     if again.limit(1).count():
         # Rows that repeat doc_id and text: one stays; NULL texts are no duplicates of one another.

@@ -39,6 +39,17 @@ def text_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n] for n in names])
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all columns of docs."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_key(text: str = "text"):
     """128-bit digest of a text; NULL text gives NULL."""
     return F.unhex(F.md5(F.encode(F.col(text), "UTF-8")))

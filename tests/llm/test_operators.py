@@ -380,28 +380,94 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("limit", [neardup.COMPONENT_ROWS, 1])
-def test_op10_against_brute_force(spark, limit, monkeypatch):
-    rows = near_rows()
-    sets = neardup._sets(pa.array([t for _, t in rows]))
-    group = neardup.verified_groups(sets)
-    keep = {rows[k][0]: min(rows[j][0] for j in np.flatnonzero(group == group[k])) for k in range(len(rows))}
-    monkeypatch.setattr(neardup, "near_groups", lambda docs, f=neardup.near_groups: f(docs, limit))
-    got = {r.doc_id: r.keep_id for r in neardup.near_duplicates(table(spark, rows)).collect()}
-    assert np.mean([got[i] == keep[i] for i in keep]) >= 0.95 and len(set(got.values())) == 12
+def shingles(text):
+    """The word 3-grams of a text in plain Python."""
+    plain = [w for w in ("".join(c for c in x if c.isalnum()) for x in text.lower().split()) if w]
+    return {tuple(plain[k : k + 3]) for k in range(max(1, len(plain) - 2))}
+
+
+def alike(one, two):
+    return len(one & two) >= 0.55 * len(one | two)
+
+
+def joined(nodes, pairs):
+    """Components as a dict node -> least node."""
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
 
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
 
-@pytest.mark.parametrize("limit", [neardup.COMPONENT_ROWS, 1, 3])
-def test_op10_pairs_led_by_a_text_unlike_them(spark, limit, monkeypatch):
-    # One band for all texts, led by a text that is like none of them.
-    monkeypatch.setattr(neardup, "distinct_texts", lambda docs: docs.select("doc_id", neardup.text_key().alias("key")).withColumn("bands", neardup.F.array(neardup.F.lit(7).cast("long"))).withColumn("node", neardup.F.col("doc_id")))
-    texts = [prose(700), *[prose(701 + k // 2) + " end" * (k % 2) for k in range(6)]]
-    rows = table(spark, list(enumerate(texts)))
-    _, groups = neardup.near_groups(rows, limit)
+
+def triples(n):
+    """Three texts each, of which the second is like the others and the others hardly like one another."""
+    rows = []
+    for k in range(n):
+        r, own = random.Random(k), prose(3000 + k, 60).split()
+        first, last = list(own), list(own)
+        for at in range(4, 12, 2):
+            first[at] = r.choice(WORDS)
+        for at in range(40, 50, 2):
+            last[at] = r.choice(WORDS)
+        rows += [(10 * k, " ".join(first)), (10 * k + 1, " ".join(own)), (10 * k + 2, " ".join(last))]
+    return rows
+
+
+def test_op10_against_brute_force(spark):
+    rows = near_rows() + [(9000 + i, t) for i, t in triples(40)]
+    sets = {i: shingles(t) for i, t in rows}
+    want = joined(sets, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
+    got = {r.doc_id: r.keep_id for r in neardup.near_duplicates(table(spark, rows)).collect()}
+    assert got.keys() == want.keys()
+    assert all(want[i] == want[k] for i, k in got.items()), "only similar documents are joined"
+    assert np.mean([got[i] == want[i] for i in want]) >= 0.95
+
+
+def test_op10_is_the_same_for_all_sizes_of_tasks(spark):
+    rows = near_rows() + [(9000 + i, t) for i, t in triples(60)]
+    found = []
+    for size in (1, 7, neardup.TASK_TEXTS):
+        texts, groups = neardup.near_groups(table(spark, rows), size)
+        named = groups.join(texts.select("node", "doc_id"), "node").join(texts.select(texts["node"].alias("root"), texts["doc_id"].alias("root_id")), "root")
+        found.append({(r.doc_id, r.root_id) for r in named.collect()})
+        by = {}
+        for i, root in found[-1]:
+            by.setdefault(root, set()).add(i)
+        found[-1] = {frozenset(x) for x in by.values()}
+    assert found[0] == found[1] == found[2] and len(found[0]) > 40
+
+
+@pytest.mark.parametrize("size", [neardup.TASK_TEXTS, 1, 3])
+def test_op10_pairs_led_by_a_text_unlike_them(spark, size, monkeypatch):
+    # One band for all texts, led by a text that is like none of them, and pairs that are alike without a band in common.
+    texts = [prose(700), *[prose(701 + k // 2) + " end" * (k % 2) for k in range(6)], *[t for _, t in triples(5)]]
+    bands = {k: [7] if k < 20 else [k] for k in range(len(texts))}
+    fixed = spark.createDataFrame([(k, k, b) for k, b in bands.items()], "doc_id long, node long, bands array<long>")
+    monkeypatch.setattr(neardup, "distinct_texts", lambda docs: docs.select("doc_id", neardup.text_key().alias("key")).join(fixed, "doc_id"))
+    _, groups = neardup.near_groups(table(spark, list(enumerate(texts))), size)
     found = {}
     for r in groups.collect():
         found.setdefault(r.root, set()).add(r.node)
-    assert {frozenset(g) for g in found.values() if len(g) > 1} == {frozenset(x) for x in ((1, 2), (3, 4), (5, 6))}
+    sets = [shingles(t) for t in texts]
+    want = joined(range(len(texts)), [(a, b) for a in range(20) for b in range(20) if a < b and alike(sets[a], sets[b])])
+    expected = {frozenset(n for n in want if want[n] == root) for root in want.values()}
+    assert {frozenset(g) for g in found.values()} == {g for g in expected if len(g) > 1}
+
+
+def test_op10_similar_pairs_kernel():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 40 if k % 2 else 4000, 30)).astype(np.uint64) for k in range(90)]
+    sets += [sets[0], np.zeros(0, np.uint64), np.append(sets[1], np.uint64(5000))]
+    ones = np.arange(0, len(sets), 3)
+    i, j = neardup.similar_pairs(sets, ones)
+    want = {(a, b) for a in ones for b in range(len(sets)) if a != b and len(set(sets[a]) & set(sets[b])) >= max(1, 0.55 * len(set(sets[a]) | set(sets[b])))}
+    assert set(zip(i, j)) == want and len(want) > 5
 
 
 def test_op10_odd(spark):
