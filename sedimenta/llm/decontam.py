@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.shared import text_columns
+from sedimenta.llm.shared import cut, text_columns
 from sedimenta.llm.words import distinct, grams_of, row_of, slices, summed, words_of
 
 K1, B = 1.2, 0.75
@@ -20,12 +20,13 @@ OVERLAP = 0.5
 GRAM = 3
 #: Items have the question first and the answer last: the last quarter of the words is taken for the answer.
 ANSWER_SHARE = 0.25
-#: Items of fewer words than this don't identify a source and are not searched for.
+#: Items of fewer words have no question and answer: all of their words must stand next to one another.
 LEAST_WORDS = 5
-#: Words of a passage at least; passages overlap by half, so an item of up to half a passage is whole in one.
+#: Words of the passages in which items of up to half as many are searched; for items of up to twice as many words they
+#: are twice as long, and so on. Passages overlap by half, so an item that stands in one piece is whole in one.
 PASSAGE = 128
 BLOCK_ITEMS = 8
-#: Benchmark words that one broadcast index holds; a larger benchmark is searched index by index.
+#: Benchmark words that one pass over the documents searches; a larger benchmark takes several.
 INDEX_WORDS = 4_000_000
 
 
@@ -35,8 +36,8 @@ class Index:
     Impacts are divided by the item's score against itself, so that one threshold serves all items and bounds.
     """
 
-    def __init__(self, ids: list, words: list[np.ndarray], document_frequency: dict[int, int] | None, items: int, mean: float):
-        self.ids, self.words = ids, words
+    def __init__(self, ids: list, words: list[np.ndarray], document_frequency: dict[int, int] | None, items: int, mean: float, passage: int = PASSAGE):
+        self.ids, self.words, self.passage = ids, words, passage
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.terms = np.unique(flat)
@@ -60,12 +61,14 @@ class Index:
         self.blocks = len(words) // BLOCK_ITEMS + 1
         # The other terms have long lists and little impact: search() opens them only where their bounds call for it.
         self.essential = df <= max(1, items // 4)
-        self.passage = max(PASSAGE, 2 * max([1, *map(len, words)]))
         self.parts = []
         for w in words:
-            cut = len(w) - max(1, int(len(w) * ANSWER_SHARE))
+            if len(w) < LEAST_WORDS:
+                self.parts.append([(len(w), grams_of(w, np.array([0, len(w)]), len(w))[0])] * 2)
+                continue
+            at = len(w) - max(1, int(len(w) * ANSWER_SHARE))
             # Question and answer, each as the words of its grams and the distinct grams.
-            self.parts.append([(min(GRAM, len(p)), distinct(grams_of(p, np.array([0, len(p)]), GRAM)[0])) for p in (w[:cut], w[cut:])])
+            self.parts.append([(min(GRAM, len(p)), distinct(grams_of(p, np.array([0, len(p)]), GRAM)[0])) for p in (w[:at], w[at:])])
 
     @staticmethod
     def _expand(at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,31 +121,43 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("item_id"), lists], ["item_id", "words"])
 
 
-def indexes(benchmark: DataFrame, index_words: int = INDEX_WORDS) -> Iterator[Index]:
-    """The index of a benchmark, or the indexes of its parts if it has more words than one may hold."""
+def indexes(benchmark: DataFrame, index_words: int = INDEX_WORDS) -> Iterator[list[Index]]:
+    """The indexes of a benchmark for each pass over the documents.
+
+    There is one for the items of each length of passages, in parts where it has more than index_words words. Document
+    frequencies and the mean length are those of the whole benchmark, so what is found of an item depends neither on
+    the cut nor on what else is in its index.
+    """
     items = text_columns(benchmark, "item_id", "text").where("text is not null").mapInArrow(_items, "item_id long, words array<long>")
-    items = items.where(F.size("words") >= LEAST_WORDS)
-    count, total = items.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
-    if not count:
-        return
-    shards = -(-total // index_words)
-    keyed = items.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
+    items, half = items.where(F.size("words") > 0), PASSAGE // 2
+    scale = F.when(F.size("words") <= half, 0).otherwise(F.length(F.bin(F.floor((F.size("words") - 1) / half).cast("long")))).alias("scale")
+    keyed = items.select("item_id", "words", scale)
+    sizes = [tuple(r) for r in keyed.groupBy("scale").agg(F.count(F.lit(1)), F.sum(F.size("words"))).orderBy("scale").collect()]
+    count, total = sum(s[1] for s in sizes), sum(s[2] for s in sizes)
+    parts = [(scale, k, -(-words // index_words), words / -(-words // index_words)) for scale, _, words in sizes for k in range(-(-words // index_words))]
     frequency = None
-    if shards > 1:
-        frequency = items.select(F.explode(F.array_distinct("words")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    for s in range(shards):
-        own = keyed.where(F.col("shard") == s)
+    if len(parts) > 1:
+        keyed = cut(keyed, "items")
+        frequency = cut(keyed.select(F.explode(F.array_distinct("words")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    ready, size = [], 0
+    for scale, k, shards, words in parts:
+        if ready and size + words > index_words:
+            yield ready
+            ready, size = [], 0
+        own = keyed.where((F.col("scale") == scale) & (F.pmod(F.xxhash64("words"), F.lit(shards)) == k))
         rows = own.orderBy(F.col("item_id").asc_nulls_last(), "words").collect()
         df = None
         if frequency is not None:
             df = {r["t"]: r["df"] for r in frequency.join(own.select(F.explode("words").alias("t")).distinct(), "t", "left_semi").collect()}
         if rows:
-            yield Index([r["item_id"] for r in rows], [np.array(r["words"], np.int64).view(np.uint64) for r in rows], df, count, total / count)
+            ready.append(Index([r["item_id"] for r in rows], [np.array(r["words"], np.int64).view(np.uint64) for r in rows], df, count, total / count, PASSAGE << scale))
+            size += words
+    if ready:
+        yield ready
 
 
-def _matches(index: Index, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, score, question overlap, answer overlap) of each passage of a text column that holds an item."""
-    h, offsets = words_of(column)
+def _matches(index: Index, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, score, question overlap, answer overlap) of each passage that holds an item; words as of words_of."""
     empty = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 3
     if len(h) == 0 or len(index.terms) == 0:
         return empty
@@ -173,27 +188,30 @@ def _matches(index: Index, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np
 def contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap), one row for each document row and item it holds.
 
-    Every passage of every document is a query. score is the best passage's BM25 as a share of the item's own. NULL
-    and empty texts hold nothing, nor do NULL items or those of fewer than LEAST_WORDS words; repeated rows are
-    reported each; a NULL doc_id or item_id stays NULL. Empty tables give an empty result.
+    Every passage of every document is a query. score is the best passage's BM25 as a share of the item's own. An
+    item of fewer than LEAST_WORDS words is held where all its words stand in order next to one another. NULL and
+    empty texts and texts without words hold nothing, nor do such items; repeated rows are reported each, and so are
+    repeated items; a NULL doc_id or item_id stays NULL. Empty tables give an empty result.
     """
     out = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     found = docs.sparkSession.createDataFrame([], out)
-    for index in indexes(benchmark, index_words):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for ready in indexes(benchmark, index_words):
+        sent = docs.sparkSession.sparkContext.broadcast(ready)
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    row, item, score, q, a = _matches(sent.value, part.column("text"))
-                    order = np.lexsort((-score, item, row))
-                    row, item, score, q, a = (x[order] for x in (row, item, score, q, a))
-                    best = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]) if len(row) else np.zeros(0, bool)
-                    items = pa.array([sent.value.ids[i] for i in item[best]], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(pa.array(row[best])), items, pa.array(score[best]), pa.array(q[best]), pa.array(a[best])],
-                        ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
-                    )
+                    h, offsets = words_of(part.column("text"))
+                    for index in sent.value:
+                        row, item, score, q, a = _matches(index, h, offsets)
+                        order = np.lexsort((-score, item, row))
+                        row, item, score, q, a = (x[order] for x in (row, item, score, q, a))
+                        best = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]) if len(row) else np.zeros(0, bool)
+                        items = pa.array([index.ids[i] for i in item[best]], pa.int64())
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column("doc_id").take(pa.array(row[best])), items, pa.array(score[best]), pa.array(q[best]), pa.array(a[best])],
+                            ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
+                        )
 
         found = found.unionByName(text_columns(docs, "doc_id", "text").mapInArrow(look, out))
     return found
@@ -205,7 +223,9 @@ def _clean(sent):
         for column in texts:
             ok, done = np.ones(len(column), bool), 0
             for part in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
-                ok[done + _matches(sent.value, part.column("text"))[0]] = False
+                h, offsets = words_of(part.column("text"))
+                for index in sent.value:
+                    ok[done + _matches(index, h, offsets)[0]] = False
                 done += part.num_rows
             yield pa.array(ok)
 
@@ -214,7 +234,7 @@ def _clean(sent):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
     """The rows of docs, all columns, whose text holds no item; see contaminated for the cases."""
-    for index in indexes(benchmark, index_words):
-        clean = _clean(docs.sparkSession.sparkContext.broadcast(index))
+    for ready in indexes(benchmark, index_words):
+        clean = _clean(docs.sparkSession.sparkContext.broadcast(ready))
         docs = docs.where(clean(docs["text"]))
     return docs

@@ -125,11 +125,12 @@ def distinct(x: np.ndarray) -> np.ndarray:
 def summed(key: np.ndarray, weight: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys below `keys` and the sums of their weights."""
     if keys <= 1 << 23:
-        total = np.bincount(key, weight, keys)
+        total = np.bincount(key, weight, keys).astype(np.float64)
         at = np.flatnonzero(total)
         return at, total[at]
     at, inverse = np.unique(key, return_inverse=True)
-    return at, np.bincount(inverse, weight, len(at))
+    # Without any key numpy would count in integers.
+    return at, np.bincount(inverse, weight, len(at)).astype(np.float64)
 
 
 def row_of(offsets: np.ndarray) -> np.ndarray:

@@ -188,7 +188,7 @@ def test_repeated_items_and_tiny_benchmarks_are_found(copies, others):
     text = [" ".join(r.choices([f"w{i}" for i in range(40)], k=24)) for _ in range(1 + others)]
     items = [words.words_of(pa.array([t]))[0] for t in [text[0]] * copies + text[1:]]
     index = decontam.Index(list(range(len(items))), items, None, len(items), 24)
-    row, item, score, _, _ = decontam._matches(index, pa.array([*text, "nothing of it"]))
+    row, item, score, _, _ = decontam._matches(index, *words.words_of(pa.array([*text, "nothing of it"])))
     found = set(zip(row.tolist(), item.tolist()))
     assert {(0, k) for k in range(copies)} | {(1 + k, copies + k) for k in range(others)} <= found
     for t, own in enumerate(text):

@@ -181,22 +181,93 @@ def test_op3_empty(spark):
 # ---------------------------------------------------------------- 4 decontamination
 
 def test_op4_planted_items(spark):
-    items = [(k, prose(1000 + k, 20 + k)) for k in range(12)] + [(50, None), (51, ""), (52, "too short"), (None, prose(2000, 30))]
+    items = [(k, prose(1000 + k, 20 + k)) for k in range(12)] + [(50, None), (51, ""), (52, "too short!"), (None, prose(2000, 30)), (53, "...")]
     docs = [(k, prose(k, 300)) for k in range(15)]
     docs += [(100 + k, prose(k, 50 * k) + "\n" + items[k][1].upper() + " !\n" + prose(k + 30, 90)) for k in range(12)]
-    docs += [(200, items[3][1]), (200, items[3][1]), (None, items[4][1] + " " + items[15][1]), (201, None), (202, ""), (203, " ".join(items[5][1].split()[:8]))]
+    docs += [(200, items[3][1]), (200, items[3][1]), (None, items[4][1] + " " + items[15][1]), (201, None), (202, ""), (203, " ".join(items[5][1].split()[:8])), (204, "this is TOO, short"), (205, "too w1 short")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = Counter({**{(100 + k, k): 1 for k in range(12)}, (200, 3): 2, (None, 4): 1, (None, None): 1})
+    want = Counter({**{(100 + k, k): 1 for k in range(12)}, (200, 3): 2, (None, 4): 1, (None, None): 1, (204, 52): 1})
     for size in (decontam.INDEX_WORDS, 60):
         got = decontam.contaminated(table(spark, docs), bench, size)
         assert Counter((r.doc_id, r.item_id) for r in got.collect()) == want
         kept = decontam.drop_contaminated(table(spark, docs), bench, size)
-        assert Counter(r.doc_id for r in kept.collect()) == Counter([*range(15), 201, 202, 203])
+        assert Counter(r.doc_id for r in kept.collect()) == Counter([*range(15), 201, 202, 203, 205])
     assert decontam.contaminated(empty(spark), bench).count() == 0
     assert decontam.contaminated(table(spark, docs), bench.limit(0)).count() == 0
     assert decontam.drop_contaminated(table(spark, docs), bench.limit(0)).count() == len(docs)
 
 
+def plain_words(text):
+    return [w for w in ("".join(c for c in x if c.isalnum()) for x in (text or "").lower().split()) if w]
+
+
+def brute_contaminated(docs, items):
+    """BM25 of every passage and item and both overlaps in plain Python: {(doc_id, item_id): (score, q, a)}."""
+    split = [(i, w) for i, w in ((i, plain_words(t)) for i, t in items) if w]
+    n, mean = len(split), sum(len(w) for _, w in split) / max(1, len(split))
+    df = Counter(t for _, w in split for t in set(w))
+    grams = lambda w, g: {tuple(w[k : k + g]) for k in range(len(w) - g + 1)} if len(w) >= g else {tuple(w)}
+    out = {}
+    for d, text in docs:
+        words_ = plain_words(text)
+        for i, w in split:
+            tf = Counter(w)
+            impact = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, c in tf.items()}
+            half = 64
+            while half < len(w):
+                half *= 2
+            for begin in range(0, max(1, -(-len(words_) // half) - 1) * half, half):
+                passage = words_[begin : begin + 2 * half]
+                score = sum(impact[t] for t in set(passage) & impact.keys()) / sum(impact.values())
+                if score < 0.5 - 1e-9:
+                    continue
+                at = len(w) - max(1, int(len(w) * 0.25))
+                parts = [w[:at], w[at:]] if len(w) >= 5 else [w, w]
+                q, a = (np.mean([g in grams(passage, len(g)) for g in grams(p, min(3, len(p)) if len(w) >= 5 else len(w))]) for p in parts)
+                if q >= 0.5 and a >= 0.5 and score > out.get((d, i), (0,))[0]:
+                    out[d, i] = (score, q, a)
+    return out
+
+
+def test_op4_against_brute_force(spark):
+    r = random.Random(4)
+    items = [(k, prose(4000 + k, r.choice([3, 8, 30, 60, 64, 65, 90, 150]))) for k in range(30)] + [(40, prose(4001, 30)), (41, prose(4002, 40)), (42, prose(4002, 40))]
+    docs = []
+    for k in range(60):
+        own = plain_words(items[k % 33][1])
+        if k % 3 == 1:
+            keep = r.uniform(0.4, 1)
+            own = [w if r.random() < keep**0.3 else r.choice(WORDS) for w in own]
+        if k % 3 == 2:
+            step = r.choice([4, 8, 20])
+            own = [x for b in range(0, len(own), step) for x in [*own[b : b + step], *r.choices(WORDS, k=step * (k % 4) // 2)]]
+        docs.append((k, " ".join([*r.choices(WORDS, k=r.randrange(150)), *own, *r.choices(WORDS, k=r.randrange(150))])))
+    want = brute_contaminated(docs, items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert 20 < len(want) < 80
+    for size in (decontam.INDEX_WORDS, 300):
+        got = {(x.doc_id, x.item_id): (x.score, x.question_overlap, x.answer_overlap) for x in decontam.contaminated(table(spark, docs), bench, size).collect()}
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[k], want[k]) for k in want)
+        assert {x.doc_id for x in decontam.drop_contaminated(table(spark, docs), bench, size).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_op4_other_items_change_nothing(spark):
+    """An item scattered over many words is found or not whatever the lengths of the other items."""
+    item = prose(4100, 20)
+    spread = " ".join(x for w in plain_words(item) for x in [w, *random.Random(w).choices(WORDS, k=10)])
+    docs = [(1, spread), (2, item), (3, prose(4101, 900)), (4, item + " " + prose(4102, 300))]
+    found = []
+    for more in ([], [(2, prose(4103, 1500))]):
+        bench = spark.createDataFrame([(1, item), *more], "item_id long, text string")
+        for size in (decontam.INDEX_WORDS, 100):
+            found.append({(x.doc_id, x.item_id) for x in decontam.contaminated(table(spark, docs), bench, size).collect()})
+    assert all(f == {(2, 1), (4, 1)} for f in found)
+    long = prose(4104, 60_000)
+    bench = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(table(spark, [(1, long), (2, long + item), (3, "x")]), bench).collect()} == {(1, 2), (2, 2), (2, 1)}
+
+
 # ---------------------------------------------------------------- 5 mixing
 
 def test_op5_copies(spark, monkeypatch):
