@@ -166,20 +166,36 @@ def test_lines_and_runs():
     assert row.tolist() == [0] and len(run) == 1
 
 
-def test_fingerprints_cover_every_passage():
+@pytest.mark.parametrize("longest", [repeats.RUN, 7])
+def test_homes_cover_every_passage_once(longest):
     r = np.random.default_rng(6)
     texts = [r.integers(0, 2**63, n).astype(np.uint64) for n in (120, 49, 50, 0, 300)]
-    texts.append(np.concatenate([texts[4][100:170], texts[0][:60]]))
+    texts += [np.concatenate([texts[4][100:170], texts[0][:60]]), np.full(200, 5, np.uint64), np.tile(texts[0][:10], 7), np.concatenate([texts[4][:30], np.tile(texts[0][:10], 6), texts[4][30:70]])]
     h, offsets = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    at, g = repeats.fingerprints(h, offsets)
-    where = {}
-    for p, v in zip(at.tolist(), g.tolist()):
-        where.setdefault(v, []).append(p)
-    for a, b in zip(offsets, offsets[1:]):
+    start, length, home, twice = repeats.homes(h, offsets, longest=longest)
+    assert length.max() <= longest
+    of = {s + k: (int(v), bool(t)) for s, n, v, t in zip(start, length, home, twice) for k in range(n)}
+    assert len(of) == length.sum()
+    known, within = {}, {}
+    for row, (a, b) in enumerate(zip(offsets, offsets[1:])):
         for s in range(a, b - repeats.SPAN + 1):
-            assert ((at >= s) & (at <= s + repeats.SPAN - repeats.GRAM)).any()
-    shared = [v for v, ps in where.items() if len(ps) > 1]
-    assert len(shared) >= 2
+            passage = h[s : s + repeats.SPAN].tobytes()
+            assert known.setdefault(passage, of[s][0]) == of[s][0]
+            assert (row, passage) not in within or (of[s][1] and of[within[row, passage]][1])
+            within[row, passage] = s
+    assert len(of) == sum(max(0, len(t) - repeats.SPAN + 1) for t in texts)
+
+
+def test_suffix_groups_are_equal_passages():
+    r = np.random.default_rng(8)
+    base = r.integers(0, 2**63, 90).astype(np.uint64)
+    regions = [base, base[10:75], base[20:70], np.full(70, 3, np.uint64), r.integers(0, 2**63, 50).astype(np.uint64), np.concatenate([base[:55], base[:60]])]
+    region, offset, group = repeats.suffix_groups(regions)
+    by = {}
+    for i, o, g in zip(region, offset, group):
+        by.setdefault(g, set()).add(regions[i][o : o + repeats.SPAN].tobytes())
+    assert all(len(x) == 1 for x in by.values()) and len({next(iter(x)) for x in by.values()}) == len(by)
+    assert len(region) == sum(len(x) - repeats.SPAN + 1 for x in regions)
 
 
 @pytest.mark.parametrize("copies, others", [(2, 0), (4, 4), (3, 2), (1, 1)])

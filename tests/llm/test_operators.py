@@ -366,6 +366,7 @@ def test_op7_against_brute_force(spark, monkeypatch):
     shared = [prose(700 + k, 55 + 20 * k) for k in range(3)]
     rows = [(k, prose(k, 40) + " " + shared[k % 3] + " " + prose(k + 50, 30)) for k in range(9)]
     rows += [(20, prose(20, 120)), (21, prose(20, 120) + " end"), (22, " ".join(["same"] * 130)), (23, shared[0][: len(shared[0]) // 2]), (24, None), (25, ""), (None, shared[1]), (20, prose(20, 120)), (26, rows[2][1])]
+    rows += [(30, " ".join(["a b c d e f g h"] * 12) + " " + prose(31, 20) + " " + " ".join(["a b c d e f g h"] * 9)), (31, prose(33, 60) + " " + " ".join(["same"] * 90))]
     plain = {}
     for i, t in rows:
         if t is not None and (t not in plain or (i is None, i or 0) < plain[t]):
@@ -395,6 +396,9 @@ def test_op7_against_brute_force(spark, monkeypatch):
 def test_op7_odd(spark):
     out = repeats.repeated_passages(odd(spark)).collect()
     assert {(r.doc_id, r.first_doc_id) for r in out} >= {(3, 1), (None, 1), (9, 8), (2, 2)}
+    # One word over and over, longer than a run may be.
+    out = repeats.repeated_passages(table(spark, [(1, "same " * 120_000), (2, "x " + "same " * 60)])).collect()
+    assert Counter(map(tuple, out)) == Counter([(1, 1, 120_000, 1), (2, 1, 61, 1)])
     assert repeats.repeated_passages(empty(spark)).count() == 0
 
 
