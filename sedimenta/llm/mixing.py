@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.shared import cut, text_columns
+from sedimenta.llm.shared import cut, text_columns, unused
 
 #: Without explicit weights a source's weight is its size to this power, which lifts small sources.
 TEMPERATURE = 0.7
@@ -127,13 +127,15 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None, seed: int =
 
 
 def _with_copies(docs: DataFrame, weights: dict[str, float] | None, seed: int, name: str) -> DataFrame:
+    """docs with the number of copies as a further column of that name, which no column of docs may have."""
     expected, won = copies(docs, weights, seed)
-    expected = expected.select(F.col("source").alias("__es"), F.floor(F.col("x") + _CLOSE).cast("int").alias("__whole"))
-    won = won.select(F.col("source").alias("__ws"), F.col("doc_id").alias("__wd"), F.lit(1).alias("__one"))
+    at_source, whole, won_source, won_id, one = unused(docs.withColumn(name, F.lit(0)), "at_source", "whole", "won_source", "won_id", "one")
+    expected = expected.select(F.col("source").alias(at_source), F.floor(F.col("x") + _CLOSE).cast("int").alias(whole))
+    won = won.select(F.col("source").alias(won_source), F.col("doc_id").alias(won_id), F.lit(1).alias(one))
     return (
-        docs.join(expected, docs["source"].eqNullSafe(F.col("__es")), "left")
-        .join(won, docs["source"].eqNullSafe(F.col("__ws")) & docs["doc_id"].eqNullSafe(F.col("__wd")), "left")
-        .withColumn(name, F.col("__whole") + F.coalesce("__one", F.lit(0))).select(*[docs[c] for c in docs.columns], name)
+        docs.join(expected, docs["source"].eqNullSafe(F.col(at_source)), "left")
+        .join(won, docs["source"].eqNullSafe(F.col(won_source)) & docs["doc_id"].eqNullSafe(F.col(won_id)), "left")
+        .withColumn(name, F.col(whole) + F.coalesce(one, F.lit(0))).select(*[docs[c] for c in docs.columns], name)
     )
 
 
@@ -148,5 +150,6 @@ def mixed_copies(docs: DataFrame, weights: dict[str, float] | None = None, seed:
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
     """The rows of docs, all columns, each as often as mixed_copies says."""
-    many = _with_copies(docs, weights, seed, "__copies")
-    return many.withColumn("__copies", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).drop("__copies")
+    (name,) = unused(docs, "copies")
+    many = _with_copies(docs, weights, seed, name)
+    return many.withColumn(name, F.explode(F.array_repeat(F.lit(0), F.col(name)))).drop(name)
