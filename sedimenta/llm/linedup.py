@@ -5,7 +5,6 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +63,8 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
     """Aligned common blocks (start in a, start in b, length) of two sequences, in order.
 
     Items that occur once in each are matched and the longest chain of them in both orders is kept; each is extended
-    over equal neighbours, and the gaps between are aligned in the same way. A gap without such an item is aligned
-    by longest matching blocks.
+    over equal neighbours, and the gaps between are aligned in the same way. In a gap without such an item the first
+    occurrences of each match one another, the second ones, and so on.
     """
     out: list[tuple[int, int, int]] = []
     stack = [(0, len(a), 0, len(b))]
@@ -77,8 +76,18 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
         at_b = {x: j for j, x in enumerate(b[blo:bhi], blo) if in_b[x] == 1}
         found = [(i, at_b[x]) for i, x in enumerate(a[alo:ahi], alo) if in_a[x] == 1 and x in at_b]
         if not found:
-            out += [tuple(m) for m in ((m.a + alo, m.b + blo, m.size) for m in SequenceMatcher(None, a[alo:ahi], b[blo:bhi], False).get_matching_blocks()) if m[2]]
-            continue
+            nth: Counter = Counter()
+            numbered = {}
+            for j in range(blo, bhi):
+                numbered[b[j], nth[b[j]]] = j
+                nth[b[j]] += 1
+            nth = Counter()
+            for i in range(alo, ahi):
+                if (a[i], nth[a[i]]) in numbered:
+                    found.append((i, numbered[a[i], nth[a[i]]]))
+                nth[a[i]] += 1
+            if not found:
+                continue
         tops: list[int] = []
         last: list[int] = []
         back: list[int] = []
@@ -96,7 +105,7 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
             k = back[k]
         ai, bi = alo, blo
         for i, j in reversed(chain):
-            if i < ai:
+            if i < ai or j < bi:
                 continue
             i0, j0 = i, j
             while i0 > ai and j0 > bi and a[i0 - 1] == b[j0 - 1]:
@@ -166,17 +175,21 @@ def overlapping(texts: DataFrame) -> DataFrame:
     with their square, and every common block long enough to be deleted is in some pair. It stays only where it
     crosses longer common blocks in all of these pairs.
     """
-    line = texts.select("rank", "node", F.explode(F.array_distinct("lines")).alias("h")).where("h <> 0")
-    by = Window.partitionBy("h")
-    shared = line.withColumn("n", F.count(F.lit(1)).over(by)).where(F.col("n").between(2, RARE))
-    group = shared.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("rank", "node"))).alias("m"))
+    # Only the first rows of each hash are ranked, which Spark limits before the shuffle too, so a line or a run of very
+    # many texts is never sorted in one task.
+    first = lambda rows, n: rows.withColumn("nth", F.row_number().over(Window.partitionBy("h").orderBy("own"))).where(F.col("nth") <= n)
+    line = texts.select(F.struct("rank", "node").alias("own"), F.explode(F.array_distinct("lines")).alias("h")).where("h <> 0")
+    group = first(line, RARE + 1).groupBy("h").agg(F.sort_array(F.collect_list("own")).alias("m")).where(F.size("m").between(2, RARE))
     one = group.select(F.posexplode("m").alias("i", "one"), "m").select("one", F.explode(F.slice("m", F.lit(1), F.col("i"))).alias("other"))
     rare = one.select(F.col("other.node").alias("early"), F.col("one.node").alias("node"))
     run = texts.select(F.struct("rank", "node").alias("own"), F.explode(F.array_distinct("runs")).alias("h"))
-    nth = run.withColumn("nth", F.row_number().over(by.orderBy("own")))
-    first = F.collect_list(F.when(F.col("nth") <= RARE, F.col("own.node"))).over(by.orderBy("own").rowsBetween(Window.unboundedPreceding, -1))
-    star = nth.withColumn("first", first).where("nth > 1").select(F.explode("first").alias("early"), F.col("own.node").alias("node"))
-    return rare.union(star).distinct()
+    stars = cut(first(run, RARE + 1).groupBy("h").agg(F.sort_array(F.collect_list("own")).alias("m")).where(F.size("m") > 1), "stars")
+    known = stars.select(F.posexplode("m").alias("i", "one"), "m").where(F.col("i") < RARE).select("one", F.explode(F.slice("m", F.lit(1), F.col("i"))).alias("other"))
+    known = known.select(F.col("other.node").alias("early"), F.col("one.node").alias("node"))
+    # The texts of a run beyond its first ones meet these in a join, which splits hashes of very many texts.
+    full = stars.where(F.size("m") > RARE).select("h", F.slice("m", 1, RARE).alias("m"))
+    later = run.join(full, "h").where(F.col("own") > F.col("m")[RARE - 1]).select(F.explode("m.node").alias("early"), F.col("own.node").alias("node"))
+    return rare.union(known).union(later).distinct()
 
 
 def deduped_lines(docs: DataFrame) -> DataFrame:
@@ -200,9 +213,11 @@ def deduped_lines(docs: DataFrame) -> DataFrame:
     rows = text_columns(docs, "doc_id", "text").withColumn("key", text_key()).join(known.hint("merge"), "key", "left")
     later = F.coalesce(F.col("copied") & ~F.col("doc_id").eqNullSafe(F.col("first_id")), F.lit(False))
     line = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(line, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size("line") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("line", i)), "\n")
+    rows = rows.withColumn("line", line)
     return rows.select(
         "doc_id",
         F.when(later, F.lit("")).when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.when(later, F.size(line)).when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).alias("removed_lines"),
+        F.when(later, F.size("line")).when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).alias("removed_lines"),
     )
