@@ -17,21 +17,35 @@ from sedimenta.llm.words import hash_spans, slices
 #: chosen. What is chosen decides how often the first tier answers, never what the answer is.
 SAMPLE_ROWS = 1_000
 FREQUENT = 1 << 16
+TIER_BYTES = 64
 _TIER_BITS = 18
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            data, start, end, _ = pretokens(part.column("text"))
+            h, c = hash_spans(data, start, end), hash_spans(data, start, end, 1)
+            _, first, count = np.unique(h, return_index=True, return_counts=True)
+            short = end[first] - start[first] <= TIER_BYTES
+            first, count = first[short], count[short]
+            tokens = [data[a:b].tobytes() for a, b in zip(start[first].tolist(), end[first].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(h[first].view(np.int64)), pa.array(c[first].view(np.int64)), pa.array(count)], ["token", "h", "c", "n"])
+
+
 def frequent_lengths(docs: DataFrame, folder: str, vocabulary: str, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The compact first tier: two hashes and the token count of the most frequent pre-tokens of a sample."""
+    """The compact first tier: two hashes and the token count of the most frequent pre-tokens of a sample.
+
+    The sample's pre-tokens are counted where its texts are; only the FREQUENT ones of up to TIER_BYTES bytes come to
+    the driver.
+    """
     every = max(1, docs.count() // rows)
     chosen = text_columns(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
-    texts = pa.chunked_array(chosen.select("text").limit(2 * rows).toArrow().column("text").chunks, pa.string()).combine_chunks()
-    data, start, end, _ = pretokens(texts)
-    h, c = hash_spans(data, start, end), hash_spans(data, start, end, 1)
-    _, first, count = np.unique(h, return_index=True, return_counts=True)
-    top = first[np.argsort(-count, kind="stable")[:FREQUENT]]
+    found = chosen.select("text").mapInArrow(_counted, "token binary, h long, c long, n long").groupBy("token", "h", "c").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     enc = encoding(folder, vocabulary)
-    size = [len(enc.encode_ordinary(data[a:b].tobytes().decode("utf-8", "replace"))) for a, b in zip(start[top].tolist(), end[top].tolist())]
-    return h[top], c[top], np.array(size, np.int32)
+    size = [len(enc.encode_ordinary(t.decode("utf-8", "replace"))) for t in top.column("token").to_pylist()]
+    return top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy().view(np.uint64), np.array(size, np.int32)
 
 
 def token_counts(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
