@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.shared import text_columns
+from sedimenta.llm.shared import cut, text_columns
 from sedimenta.llm.words import mix, row_of, slices, tokens_of
 
 #: Labelled documents that training reads at most, chosen by a hash of doc_id: the one bounded sample here.
@@ -73,8 +73,8 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
     data = []
     for part in slices(batch, "text"):
         row, index, value = features(part.column("text"))
-        cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-        data += [(index[a:b], value[a:b], float(y)) for a, b, y in zip(cut, cut[1:], part.column("good").to_pylist())]
+        ends = np.searchsorted(row, np.arange(part.num_rows + 1))
+        data += [(index[a:b], value[a:b], float(y)) for a, b, y in zip(ends, ends[1:], part.column("good").to_pylist())]
     for _ in range(EPOCHS):
         for index, value, label in data:
             model.learn(index, value, label)
@@ -84,7 +84,7 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights fitted on labelled documents; good is quality 1 and not toxic.
 
-    At most `rows` labelled documents are used, the ones of lowest hash of doc_id. Rows with a NULL doc_id,
+    At most `rows` labelled documents of docs are used, the ones of lowest hash of doc_id. Rows with a NULL doc_id,
     quality or text teach nothing; NULL toxic counts as not toxic; a doc_id labelled more than once is good only
     if every label of it is. Without labelled documents all weights are 0. Training is one task of bounded input.
     """
@@ -93,8 +93,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
         .groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("int")).alias("good"))
         .select("doc_id", "good", F.xxhash64("doc_id").alias("ord"))
     )
+    # Labels of documents that aren't there take no room in the sample.
+    there = text_columns(docs, "doc_id", "text").where("text is not null").select("doc_id")
+    lab = cut(lab.join(there, "doc_id", "left_semi"), "labelled")
     # Of a large table the ordering needs to see only the lowest hashes, about twice as many as it takes.
-    share = 2 * rows / max(1, labels.count())
+    share = 2 * rows / max(1, lab.count())
     lab = (lab.where(F.col("ord") < int(-(2**63) + share * 2**64)) if share < 1 else lab).orderBy("ord", "doc_id").limit(rows)
     # `lab` has at most `rows` rows, so it is broadcast whatever the size of the tables; one text is taken for a doc_id.
     fit = (

@@ -1,15 +1,20 @@
 """Each operator on small tables against brute force, and on the odd rows that tables can have."""
 
+import math
 import random
+import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 from sedimenta.llm import counts, decontam, exact, graph, linedup, lmscore, mixing, neardup, pretokens, quality, rans, repeats, words
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, key string, node string, score string, keep string, d string, part string, x string, leaf string, p string, words string, at string, target string, copies string"
+COLUMNS += "".join(f", {c} string" for c in "near_key best_key best_id at_source whole won_source won_id one _one line gone own h m n nth home homes part open region first band lead grams root top bands task print tokens item_id quality good ord every __k __copies".split() if f" {c} string" not in COLUMNS)
 WORDS = [f"w{i}" for i in range(400)]
 
 
@@ -20,7 +25,7 @@ def prose(seed, n=80):
 
 def table(spark, rows):
     """rows are (doc_id, text) or (doc_id, text, source); all further columns clash with names used inside."""
-    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), *["z"] * 13) for r in rows]
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), *["z"] * (COLUMNS.count(",") - 4)) for r in rows]
     return spark.createDataFrame(full, COLUMNS).repartition(3)
 
 
@@ -291,6 +296,55 @@ def test_op5_copies(spark, monkeypatch):
     assert mixed.columns == table(spark, rows).columns and mixed.count() == sum(r.copies for r in mixing.mixed_copies(table(spark, rows)).collect())
 
 
+def plain_pivotal(p):
+    """All outcomes of pivotal rounding and their probabilities, in exact arithmetic."""
+    out = Counter()
+    stack = [(tuple(p), Fraction(1))]
+    while stack:
+        now, chance = stack.pop()
+        left = [k for k, x in enumerate(now) if 0 < x < 1]
+        if len(left) < 2:
+            out[now] += chance
+            continue
+        i, j = left[:2]
+        a, b = now[i], now[j]
+        ways = [((0, a + b), b / (a + b)), ((a + b, 0), a / (a + b))] if a + b < 1 else [((1, a + b - 1), (1 - b) / (2 - a - b)), ((a + b - 1, 1), (1 - a) / (2 - a - b))]
+        for (x, y), share in ways:
+            after = list(now)
+            after[i], after[j] = x, y
+            stack.append((tuple(after), chance * share))
+    return out
+
+
+@pytest.mark.parametrize("p", [(1, 3, 2), (4, 3, 2, 1), (4, 4, 4, 4), (1, 1, 2, 3, 4), (0, 3, 5, 2)])
+def test_op5_pivot_against_all_outcomes(p):
+    p = [Fraction(x, 5) for x in p]
+    want = plain_pivotal(p)
+    assert sum(want.values()) == 1 and all(sum(o[k] * c for o, c in want.items()) == x for k, x in enumerate(p))
+    r, n, seen = np.random.default_rng(1), 20_000, Counter()
+    for _ in range(n):
+        seen[tuple(round(x * 5) for x in mixing.pivot(np.array([float(x) for x in p]), r.random(len(p))))] += 1
+    want = {tuple(int(x * 5) for x in o): float(c) for o, c in want.items()}
+    assert seen.keys() <= want.keys() and all(abs(seen[o] / n - c) < 0.02 for o, c in want.items())
+
+
+def test_op5_every_document_has_its_expectation(monkeypatch):
+    """Leaves, inner nodes and root by hand over many seeds: each of a source's documents is drawn as often as its p."""
+    rows = pd.DataFrame([("a", k, k % 3, 0.3) for k in range(9)] + [("b", k, k % 3, 0.75) for k in range(20, 24)] + [(None, 30, 0, 0.5), (None, None, 1, 0.5)], columns=["source", "doc_id", "leaf", "p"])
+    drawn, n = Counter(), 2500
+    for seed in range(n):
+        done = pd.concat([mixing._round(g, 0, seed, True) for _, g in rows.groupby("leaf")])
+        open_ = mixing._round(done[done.p < 1].assign(leaf=0), 1, seed, True)
+        last = mixing._round(open_[open_.p < 1], -1, seed, False)
+        draw = np.random.default_rng(seed).random(len(last))
+        last = last[(last.p >= 1 - 1e-9) | (draw < last.p)]
+        won = pd.concat([done[done.p >= 1], open_[open_.p >= 1], last])
+        assert abs(len(won) - rows.p.sum()) < 1
+        drawn.update((s if isinstance(s, str) else None, None if pd.isna(i) else int(i)) for s, i in zip(won.source, won.doc_id))
+    for s, i, _, p in rows.itertuples(index=False):
+        assert abs(drawn[s if isinstance(s, str) else None, None if pd.isna(i) else int(i)] / n - p) < 0.05
+
+
 def test_op5_odd(spark):
     from pyspark.sql import functions as F
 
@@ -347,7 +401,14 @@ def test_op6_frequent_lines_are_covered(spark):
     out = {r.doc_id: r.removed_lines for r in linedup.deduped_lines(table(spark, rows)).collect()}
     assert out[0] == 0 and all(out[k] == 4 for k in range(1, len(rows)))
     assert linedup.deduped_lines(empty(spark)).count() == 0
-    assert linedup.deduped_lines(odd(spark)).count() == odd(spark).count()
+    rows = [(r.doc_id, r.text) for r in odd(spark).collect()]
+    assert rows_of(linedup.deduped_lines(odd(spark))) == brute_lines(rows)
+
+
+def test_op6_very_long_texts_of_few_lines(spark):
+    body = "\n".join(["one two three four five six", "seven eight nine ten eleven"] * 20_000)
+    out = {r.doc_id: r.removed_lines for r in linedup.deduped_lines(table(spark, [(1, body), (2, "head\n" + body + "\ntail"), (3, "seven eight nine ten eleven")])).collect()}
+    assert out == {1: 0, 2: 40_000, 3: 1}
 
 
 def test_op6_short_frequent_lines_are_deleted(spark):
@@ -429,6 +490,52 @@ def test_op9_held_out_accuracy(spark):
     assert kept.columns == table(spark, rows).columns and {r.doc_id for r in kept.collect()} == {k for k, keep in out.items() if keep}
 
 
+def plain_classifier(train, texts):
+    """Words and punctuation runs, their bigrams, and FTRL in plain Python over dicts."""
+
+    def vector(text):
+        tokens = re.findall(r"[0-9A-Za-z\u0080-\uffff]+|[^\s0-9A-Za-z\u0080-\uffff]+", text or "")
+        seen = Counter([("one", t) for t in tokens] + [("same",) if a == b else ("two", a, b) for a, b in zip(tokens, tokens[1:])])
+        return {f: math.log2(1 + c) for f, c in seen.items()}
+
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        if abs(z[f]) <= (quality.L1 if f != "bias" else 0):
+            return 0.0
+        return -(z[f] - math.copysign(quality.L1 if f != "bias" else 0, z[f])) / ((quality.BETA + math.sqrt(n[f])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for text, label in train:
+            x = vector(text) | {"bias": 1.0}
+            w = {f: weight(f) for f in x}
+            error = 1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items()))) - label
+            for f, v in x.items():
+                g = error * v
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / quality.ALPHA * w[f]
+                n[f] += g * g
+    return [1 / (1 + math.exp(-sum(weight(f) * v for f, v in (vector(t) | {"bias": 1.0}).items()))) if vector(t) else None for t in texts]
+
+
+def test_op9_against_plain_ftrl(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, prose(k, 40) + (" !! zz zz " * (k % 5)) + ("" if k % 2 else " bad thing é,;")) for k in range(60)] + [(70, ""), (71, None)]
+    labels = [(k, k % 2, 0) for k in range(40)] + [(100 + k, 1, 0) for k in range(50)]
+    order = [r.k for r in spark.range(40).select(F.col("id").alias("k")).orderBy(F.xxhash64("k")).collect()]
+    want = plain_classifier([(rows[k][1], k % 2) for k in order], [t for _, t in rows])
+    got = {r.doc_id: r.score for r in quality.classify(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all((got[i] is w is None) or abs(got[i] - w) < 1e-4 for (i, _), w in zip(rows, want))
+
+
+def test_op9_labels_of_absent_documents_take_no_room(spark):
+    rows = [(k, prose(k, 30) if k % 2 else prose(k, 30).upper()) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(1000 + k, 1, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    assert np.count_nonzero(quality.train(table(spark, rows), labels, 40)) > 10
+    one = quality.train(table(spark, rows), labels, 40)
+    assert (one == quality.train(table(spark, rows), labels.where("doc_id < 40"), 40)).all()
+
+
 def test_op9_odd(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1), (8, 1, None)], "doc_id long, quality int, toxic int")
