@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.shared import cut, text_columns
+from sedimenta.llm.shared import cut, shared_dir, text_columns
 from sedimenta.llm.words import mix
 
 #: Digests that one filter shard holds on average.
@@ -79,8 +81,8 @@ def _load(row) -> FuseFilter:
     return FuseFilter(int(row["seed"]), int(row["length"]), int(row["count"]), np.frombuffer(bytes(row["data"]), np.uint8))
 
 
-def snapshot_filter(digests: DataFrame) -> tuple[DataFrame, int]:
-    """The filter of an immutable snapshot's digests (d long), as a written table of shards, and the number of shards."""
+def snapshot_filter(digests: DataFrame, path: str) -> int:
+    """Writes the filter of an immutable snapshot's distinct digests (d long) as a table of shards; their number."""
     shards = max(1, -(-digests.count() // SHARD_KEYS))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -88,7 +90,51 @@ def snapshot_filter(digests: DataFrame) -> tuple[DataFrame, int]:
         return pd.DataFrame([(rows["shard"].iloc[0], made.seed, made.length, made.count, made.data.tobytes())], columns=["shard", "seed", "length", "count", "data"])
 
     keyed = digests.select("d", F.pmod("d", F.lit(shards)).alias("shard"))
-    return cut(keyed.groupBy("shard").applyInPandas(build, FILTER), "filter"), shards
+    keyed.groupBy("shard").applyInPandas(build, FILTER).withColumn("shards", F.lit(shards)).write.parquet(path)
+    return shards
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """An immutable batch as written once: the filter of its digests, and its rows in buckets by digest.
+
+    A later batch reads the filter, and the buckets in which the filter finds one of its digests; never the documents.
+    """
+
+    spark: SparkSession
+    path: str
+
+    @property
+    def filters(self) -> DataFrame:
+        return self.spark.read.schema(FILTER + ", shards int").parquet(f"{self.path}/filter")
+
+    @property
+    def buckets(self) -> DataFrame:
+        return self.spark.read.schema("doc_id long, text string, d long, bucket long").parquet(f"{self.path}/buckets")
+
+    @property
+    def shards(self) -> int:
+        return self.filters.agg(F.max("shards")).first()[0] or 1
+
+
+def _digested(docs: DataFrame, digest: Callable[[str], Column]) -> DataFrame:
+    return text_columns(docs, "doc_id", "text").where("text is not null").withColumn("d", digest("text"))
+
+
+def write_snapshot(docs: DataFrame, path: str, digest: Callable[[str], Column] = F.xxhash64) -> Snapshot:
+    """Writes the filter and the buckets of docs below path.
+
+    A bucket is a shard's digests; one of more rows than SHARD_KEYS, as of a text of very many copies, is several files.
+    """
+    rows = _digested(docs, digest)
+    shards = snapshot_filter(rows.select("d").distinct(), f"{path}/filter")
+    keyed = rows.withColumn("bucket", F.pmod("d", F.lit(shards)).cast("long"))
+    # One small row for each shard, of which there is one for SHARD_KEYS digests.
+    files = keyed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_KEYS)).alias("files"))
+    spread = keyed.join(F.broadcast(files), "bucket").withColumn("file", F.pmod(F.xxhash64("doc_id"), "files"))
+    spread = spread.repartition("bucket", "file").sortWithinPartitions("bucket", "d").select("doc_id", "text", "d", "bucket")
+    spread.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/buckets")
+    return Snapshot(docs.sparkSession, path)
 
 
 def screen(digests: DataFrame, filters: DataFrame, shards: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -117,44 +163,63 @@ def screen(digests: DataFrame, filters: DataFrame, shards: int, broadcast_bytes:
     return keyed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(meet, "d long")
 
 
-def exact_duplicates(parts: list[DataFrame], broadcast_bytes: int = BROADCAST_BYTES, digest: Callable[[str], Column] = F.xxhash64) -> DataFrame:
-    """(doc_id, keep_id, keep) for every row of all parts: the row that stays for its text, and whether it is this one.
+def screen_batch(batch: DataFrame, snapshots: list[Snapshot], broadcast_bytes: int = BROADCAST_BYTES, digest: Callable[[str], Column] = F.xxhash64) -> DataFrame:
+    """(doc_id, keep_id, keep) for every row of a new batch; keep_id is of the earliest snapshot that has the text.
 
-    The parts are batches in the order in which they came; each but the last has become an immutable snapshot with
-    its own filter. Of equal texts the one in the earliest part stays, in it the one of the least doc_id, a NULL
-    doc_id being greater than all; of rows that repeat doc_id and text in it, one stays. Equal means equal bytes. A
-    NULL text equals nothing, an empty text every empty text. Empty parts and an empty table are fine.
+    Digests that a snapshot's filter lets pass meet its buckets, where the bytes are compared; those that the batch
+    has several times are grouped within it. See exact_duplicates for the cases.
     """
-    rows = reduce(DataFrame.unionByName, [
-        text_columns(p, "doc_id", "text").where("text is not null").withColumn("part", F.lit(i)).withColumn("d", digest("text")) for i, p in enumerate(parts)
-    ])
-    none = reduce(DataFrame.unionByName, [text_columns(p, "doc_id", "text").where("text is null").select("doc_id") for p in parts])
-    digests = cut(rows.select("part", "doc_id", "d"), "digests")
-    filters: list[tuple[DataFrame, int, DataFrame]] = []
-    suspects = []
-    for i in range(len(parts)):
-        own = digests.where(F.col("part") == i).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
-        suspects.append(own.where("n > 1").select("d"))
-        for made, shards, held in filters:
-            suspects.append(screen(own, made, shards, broadcast_bytes).join(held, "d", "left_semi"))
-        if i < len(parts) - 1:
-            held = digests.where(F.col("part") == i).select("d")
-            filters.append((*snapshot_filter(held), held))
+    part = len(snapshots)
+    rows = _digested(batch, digest)
+    digests = cut(rows.groupBy("d", "doc_id").agg(F.count(F.lit(1)).alias("n")), "digests")
+    own = digests.groupBy("d").agg(F.sum("n").alias("n"))
+    suspects, old = [own.where("n > 1").select("d")], []
+    rank = lambda k: F.struct(F.lit(k).alias("part"), F.col("doc_id").isNull().alias("none"), "doc_id")
+    for k, snapshot in enumerate(snapshots):
+        shards = snapshot.shards
+        passed = cut(screen(own, snapshot.filters, shards, broadcast_bytes), "passed")
+        hit = [r[0] for r in passed.select(F.pmod("d", F.lit(shards)).cast("long")).distinct().collect()]
+        if hit:
+            buckets = snapshot.buckets if len(hit) == shards else snapshot.buckets.where(F.col("bucket").isin(hit))
+            old.append(buckets.join(passed, "d", "left_semi").select("d", "text", rank(k).alias("best")))
+            suspects.append(passed)
     wanted = cut(reduce(DataFrame.union, suspects).distinct(), "suspects")
-    rank = F.struct("part", F.col("doc_id").isNull().alias("none"), "doc_id")
     # One row for each text of a suspect digest; equal texts are combined before the shuffle, so copies cost little.
-    texts = rows.join(wanted, "d", "left_semi").groupBy("d", "text").agg(F.min(rank).alias("best"))
-    texts = cut(texts.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("d"))), "buckets")
-    plain = texts.where("texts = 1").select("d", "best")
-    member = digests.join(plain, "d", "left").select("part", "doc_id", "d", "best", F.lit(0).cast("long").alias("t"))
-    mixed = texts.where("texts > 1")
-    if mixed.limit(1).count():
+    texts = rows.join(wanted, "d", "left_semi").select("d", "text", rank(part).alias("best"), F.lit(True).alias("new"))
+    if old:
+        texts = texts.unionByName(reduce(DataFrame.unionByName, old).withColumn("new", F.lit(False)))
+    texts = texts.groupBy("d", "text").agg(F.min("best").alias("best"), F.max("new").alias("new")).where("new").drop("new")
+    texts = cut(texts, "texts")
+    several = cut(texts.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d"), "collisions")
+    collide = several.limit(1).count() > 0
+    plain = texts.select("d", "best")
+    if collide:
         # Digests that different texts share: their rows are told apart by the text itself.
-        split = mixed.select("d", "text", "best", F.row_number().over(Window.partitionBy("d").orderBy("text")).cast("long").alias("t"))
-        member = member.join(mixed.select("d").distinct(), "d", "left_anti").unionByName(
-            rows.join(split, ["d", "text"]).select("part", "doc_id", "d", "best", "t")
-        )
-    nth = F.row_number().over(Window.partitionBy("d", "t").orderBy("part", F.col("doc_id").asc_nulls_last()))
-    groups = member.where("best is not null").select("doc_id", F.col("best.doc_id").alias("keep_id"), (nth == 1).alias("keep"))
-    alone = member.where("best is null").select("doc_id").unionByName(none)
-    return groups.unionByName(alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(True).alias("keep")))
+        apart = rows.join(several, "d", "left_semi").groupBy("d", "text", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+        apart = apart.join(texts, ["d", "text"]).select("doc_id", "n", "best")
+        plain, digests = plain.join(several, "d", "left_anti"), digests.join(several, "d", "left_anti")
+    member = digests.join(plain, "d", "left").select("doc_id", "n", "best")
+    if collide:
+        member = member.unionByName(apart)
+    first = F.col("best").isNull() | (F.col("best.part") == part) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+    keep_id = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    each = member.select("doc_id", keep_id.alias("keep_id"), first.alias("first"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    none = text_columns(batch, "doc_id", "text").where("text is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(True).alias("keep"))
+    return each.select("doc_id", "keep_id", (F.col("first") & (F.col("nth") == 1)).alias("keep")).unionByName(none)
+
+
+def exact_duplicates(parts: list[DataFrame], broadcast_bytes: int = BROADCAST_BYTES, digest: Callable[[str], Column] = F.xxhash64) -> DataFrame:
+    """(doc_id, keep_id, keep) for every row of all parts: the row that stays for its text, and whether it is this one.
+
+    The parts are batches in the order in which they came. Each is screened against the snapshots of those before it
+    and, unless it is the last, becomes a snapshot itself, written once. Of equal texts the one in the earliest part
+    stays, in it the one of the least doc_id, a NULL doc_id being greater than all; of rows that repeat doc_id and text
+    in it, one stays. Equal means equal bytes. A NULL text equals nothing, an empty text every empty text. Empty parts
+    and an empty table are fine.
+    """
+    decided, snapshots = [], []
+    for i, part in enumerate(parts):
+        decided.append(screen_batch(part, snapshots, broadcast_bytes, digest))
+        if i < len(parts) - 1:
+            snapshots.append(write_snapshot(part, f"{shared_dir(part.sparkSession)}/snapshot-{uuid.uuid4().hex}", digest))
+    return reduce(DataFrame.unionByName, decided)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import shutil
 from collections import Counter
 from fractions import Fraction
 
@@ -178,6 +179,29 @@ def test_op3_against_brute_force(spark, case):
     assert got == brute_exact(parts)
 
 
+def test_op3_batches_read_filters_and_hit_buckets_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact, "SHARD_KEYS", 40)
+    old = [(k, prose(k, 30)) for k in range(200)] + [(300, None), (301, ""), (302, "")]
+    taken = exact.write_snapshot(table(spark, old), f"{tmp_path}/one")
+    assert taken.shards == 6 and taken.filters.count() == 6 and taken.buckets.count() == 202
+    batch = [(1000 + k, prose(500 + k, 30)) for k in range(20)] + [(2000, prose(500, 30)), (2001, None)]
+    passed = exact.screen(table(spark, batch).where("text is not null").select(exact.F.xxhash64("text").alias("d")), taken.filters, taken.shards).count()
+    again = exact.Snapshot(spark, f"{tmp_path}/one")
+    if not passed:
+        shutil.rmtree(tmp_path / "one" / "buckets")
+    got = rows_of(exact.screen_batch(table(spark, batch), [again]))
+    assert got == {**{(i, i, True): 1 for i, _ in batch[:20]}, (2000, 1000, False): 1, (2001, 2001, True): 1}
+    taken = exact.write_snapshot(table(spark, old), f"{tmp_path}/two")
+    copies = [(5000 + k, prose(k, 30)) for k in range(5)] + [(5100, ""), (5101, "new"), (5102, "new")]
+    assert rows_of(exact.screen_batch(table(spark, copies), [again, taken][1:])) == {**{(5000 + k, k, False): 1 for k in range(5)}, (5100, 301, False): 1, (5101, 5101, True): 1, (5102, 5101, False): 1}
+
+
+def test_op3_very_long_and_hot_texts(spark):
+    long = prose(99, 60_000)
+    parts = [[(1, long), (2, long + "."), (3, "hot")], [(10 + k, "hot") for k in range(300)] + [(5, long)], [(400 + k, "hot") for k in range(300)] + [(6, long + ".")]]
+    assert rows_of(exact.exact_duplicates([table(spark, p) for p in parts])) == brute_exact(parts)
+
+
 def test_op3_empty(spark):
     assert exact.exact_duplicates([empty(spark), empty(spark)]).count() == 0
     assert rows_of(exact.exact_duplicates([empty(spark), table(spark, [(1, "a"), (2, "a")])])) == {(1, 1, True): 1, (2, 1, False): 1}
