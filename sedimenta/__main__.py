@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from sedimenta.config import DEFAULT, FLAT, Profile
+from sedimenta.config import AUTO, DEFAULT, FLAT, REVIEW, Profile
 from sedimenta.operators import drift, mapping, registry, reports, warehouse
 from sedimenta.plans.lakehouse import LAYERS, Lakehouse
 
@@ -19,7 +20,11 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--root", default="output", help="folder of the tables")
     p.add_argument("--src", default="data", help="folder of the XML documents")
     p.add_argument("--run-date", default=None, help="date of the run, today if not given")
-    p.add_argument("--namespace", default=None, help="namespace that documents must declare")
+    p.add_argument("--namespace", default=os.environ.get("SEDIMENTA_NAMESPACE"), help="namespace that a document's root must have; any if not given")
+    p.add_argument("--database", default=None, help="database of the catalog that gets the tables")
+    p.add_argument("--provider", default=os.environ.get("SEDIMENTA_PROVIDER", "edit_distance"), help="edit_distance, table or chat")
+    p.add_argument("--auto", type=float, default=float(os.environ.get("SEDIMENTA_AUTO", AUTO)), help="confidence from which a mapping is approved")
+    p.add_argument("--review", type=float, default=float(os.environ.get("SEDIMENTA_REVIEW", REVIEW)), help="confidence from which a mapping is used and reviewed")
     p.add_argument("--flat", action="store_true", help="also look for fields directly below the line")
     sub = p.add_subparsers(dest="command", required=True)
     run = sub.add_parser("run", help="the whole run or some layers")
@@ -29,6 +34,7 @@ def _parser() -> argparse.ArgumentParser:
     diff = sub.add_parser("diff", help="drift against the dictionary")
     diff.add_argument("--out", default=None, help="folder for diff.json and diff.md")
     m = sub.add_parser("map", help="map the new fields")
+    m.add_argument("--diff", default=None, help="a diff.json to map from, instead of a new one")
     m.add_argument("--dry-run", action="store_true")
     rep = sub.add_parser("report", help="business report")
     rep.add_argument("--top", type=int, default=5)
@@ -50,7 +56,7 @@ def main(args: list[str] | None = None) -> int:
     now = datetime.now(timezone.utc)
     base = FLAT if a.flat else DEFAULT
     profile = Profile(base.header, base.party, base.line, base.allocation, a.namespace)
-    house = Lakehouse(spark, a.src, a.root, a.run_date or now.date().isoformat(), now.isoformat(timespec="seconds"), profile, mapping.NameMapper(), getattr(a, "dry_run", False))
+    house = Lakehouse(spark, a.src, a.root, a.run_date or now.date().isoformat(), now.isoformat(timespec="seconds"), profile, mapping.mapper_named(a.provider, dict(os.environ)), getattr(a, "dry_run", False), a.database, a.auto, a.review)
     if a.command == "run":
         out = house.run(tuple(a.layers))
         if "diff" in out:
@@ -69,7 +75,7 @@ def main(args: list[str] | None = None) -> int:
             (folder / "diff.md").write_text(drift.to_markdown(found), encoding="utf-8")
         print(drift.to_markdown(found))
     elif a.command == "map":
-        decisions = house.map_fields(house.diff())
+        decisions = house.map_fields(drift.read_json(spark, a.diff) if a.diff else house.diff())
         print("no new fields" if decisions is None else mapping.tier_summary(decisions).first())
     elif a.command == "report":
         house.require("mart_invoices")

@@ -184,24 +184,54 @@ class Target:
     description: str = field(default="", compare=False)
 
 
-def _targets(position: str, text: str) -> list[Target]:
-    return [Target(n, t or "string", position, n.replace("_", " ")) for n, _, t in (w.partition(":") for w in text.split())]
-
-
-CORPUS: tuple[Target, ...] = tuple(
-    _targets(
-        "header",
-        "invoice_total:decimal vendor_total:decimal document_number document_date:date document_type currency_code vendor_entity_name "
-        "client_entity_name vendor_entity_code client_entity_code action_status action_datetime:datetime",
-    )
-    + _targets(
-        "line",
-        "line_total:decimal line_subtotal:decimal line_pretax_total:decimal line_number:integer quantity:decimal unit_price:decimal units "
-        "service_code product_description product_category charge_class period_date:date period_start_date:date tax_type tax_total:decimal "
-        "tax_exempt_code due_date:date days_due:integer cross_ref_doc_number cross_ref_doc_type discount_total:decimal discount_rate:decimal",
-    )
-    + _targets("allocation", "cost_center project_code work_order order_reference alloc_rate:decimal alloc_total:decimal")
-)
+def _targets(text: str) -> tuple[Target, ...]:
+    """One target a line, name:type:position:description, string if no type is given."""
+    parts = (x.strip().split(":", 3) for x in text.strip().splitlines())
+    return tuple(Target(name, kind or "string", position, description) for name, kind, position, description in parts)
+
+
+CORPUS = _targets("""
+    invoice_total:decimal:header:amount that the whole document asks for
+    vendor_total:decimal:header:amount of the document as the vendor states it
+    document_number::header:number by which its issuer knows the document
+    document_date:date:header:day on which the document was issued
+    document_type::header:kind of document, such as an invoice or a credit
+    currency_code::header:three-letter code of the currency of all amounts
+    vendor_entity_name::header:name of the company that sends the document
+    client_entity_name::header:name of the company that receives and pays it
+    vendor_entity_code::header:short code of the sending company
+    client_entity_code::header:short code of the paying company
+    action_status::header:state of the document in its approval, such as approved or disputed
+    action_datetime:datetime:header:moment at which that state was reached
+    line_total:decimal:line:amount of the line with everything on it
+    line_subtotal:decimal:line:amount of the line before discounts and taxes
+    line_pretax_total:decimal:line:amount of the line after discounts and before taxes
+    line_number:integer:line:place of the line in its document
+    quantity:decimal:line:how many units the line is for
+    unit_price:decimal:line:price of one unit
+    units::line:what a unit is, such as hours or barrels
+    service_code::line:code of the service or product delivered
+    product_description::line:what was delivered, in words
+    product_category::line:group of products or services that it belongs to
+    charge_class::line:whether the charge is itemised or short-paid
+    period_date:date:line:end of the period that is charged for
+    period_start_date:date:line:start of the period that is charged for
+    tax_type::line:kind of tax on the line
+    tax_total:decimal:line:amount of tax on the line
+    tax_exempt_code::line:why no tax is due
+    due_date:date:line:day up to which early payment counts
+    days_due:integer:line:days until payment is due
+    cross_ref_doc_number::line:number of another document that the line refers to
+    cross_ref_doc_type::line:kind of that other document, such as a field ticket
+    discount_total:decimal:line:amount taken off the line
+    discount_rate:decimal:line:share taken off the line
+    cost_center::allocation:unit of the client that bears the cost
+    project_code::allocation:project or budget that the cost goes to
+    work_order::allocation:order of work under which it was done
+    order_reference::allocation:purchase order that it was bought under
+    alloc_rate:decimal:allocation:share of the line that this allocation takes
+    alloc_total:decimal:allocation:amount of the line that this allocation takes
+""")
 
 #: Parents that place a field, looked at in this order.
 POSITIONS: tuple[tuple[str, tuple[str, ...]], ...] = (

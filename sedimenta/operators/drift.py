@@ -158,6 +158,18 @@ def to_json(diff: dict) -> str:
     return json.dumps(diff, indent=2, ensure_ascii=False)
 
 
+def read_json(spark: SparkSession, path: str) -> dict:
+    """A drift document as to_json wrote it, from any file system that Spark reads."""
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"not one document: {path}")
+    diff = json.loads(rows[0][0])
+    missing = {"run_date", "has_drift", "new_fields"} - diff.keys()
+    if missing:
+        raise ValueError(f"no drift document, it lacks {', '.join(sorted(missing))}: {path}")
+    return diff
+
+
 def to_markdown(diff: dict) -> str:
     """The drift document for people."""
     variants = ", ".join(f"{k} {v}" for k, v in diff["variant_counts"].items()) or "none"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable
 from typing import Protocol
 
@@ -83,6 +85,47 @@ class NameMapper:
         return {"mapped_to": near[1], "confidence": round(1 - near[0], 4), "reasoning": "nearest known name"}
 
 
+def nearest_names(fields: DataFrame, corpus: DataFrame, least: float = 0.5) -> DataFrame:
+    """NameMapper for a table of fields (field_name): adds mapped_to and llm_confidence. corpus is that of corpus_table."""
+    names = corpus.select("mapped_to")
+    own, plain = F.lower("field_name"), F.replace(F.col("mapped_to"), F.lit("_"), F.lit(""))
+    share = F.levenshtein(own, plain) / F.greatest(F.length("field_name"), F.length("mapped_to"), F.lit(1))
+    # The corpus is configuration, some tens of rows.
+    best = fields.select("field_name").distinct().crossJoin(F.broadcast(names)).groupBy("field_name").agg(F.min(F.struct(share.alias("share"), "mapped_to")).alias("best"))
+    near = 1 - F.col("best.share") >= least
+    return fields.join(best, "field_name", "left").select(
+        *fields.columns, F.when(near, F.col("best.mapped_to")).otherwise(UNKNOWN).alias("mapped_to"), F.when(near, F.round(1 - F.col("best.share"), 4)).otherwise(0.0).alias("llm_confidence")
+    )
+
+
+class ChatMapper(CallMapper):
+    """Asks a chat-completion service at a URL for JSON; key may be empty, as for a service on the own machine."""
+
+    def __init__(self, url: str, model: str, key: str = "", timeout: float = 60.0):
+        super().__init__(self._ask, f"chat:{model}")
+        self.url, self.model, self.key, self.timeout = url, model, key, timeout
+
+    def _ask(self, prompt: str) -> dict:
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": 0, "stream": False}
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), head), timeout=self.timeout) as reply:
+            told = json.load(reply)
+        text = (told.get("message") or told["choices"][0]["message"])["content"]
+        return json.loads(text[text.index("{") : text.rindex("}") + 1])
+
+
+def mapper_named(name: str, settings: dict[str, str]) -> Mapper:
+    """The provider of a name: edit_distance, table (SEDIMENTA_TABLE, a JSON file) or chat (SEDIMENTA_CHAT_URL, _MODEL, _KEY)."""
+    if name == "edit_distance":
+        return NameMapper()
+    if name == "table":
+        with open(settings["SEDIMENTA_TABLE"], encoding="utf-8") as f:
+            return TableMapper({k: tuple(v) for k, v in json.load(f).items()})
+    if name == "chat":
+        return ChatMapper(settings["SEDIMENTA_CHAT_URL"], settings["SEDIMENTA_CHAT_MODEL"], settings.get("SEDIMENTA_CHAT_KEY", ""))
+    raise ValueError(f"no such provider: {name}")
+
+
 def corpus_table(spark: SparkSession, corpus: tuple[Target, ...] = CORPUS) -> DataFrame:
     return spark.createDataFrame([(t.name, t.type, t.position) for t in corpus], "mapped_to string, mapped_type string, mapped_position string")
 

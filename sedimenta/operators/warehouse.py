@@ -72,6 +72,11 @@ def stage_all(line_items: DataFrame, invoices: DataFrame) -> DataFrame:
     )
 
 
+def of_variant(staged: DataFrame, variant: str) -> DataFrame:
+    """A staging model out of stage_all's table: the rows of a variant, without the column that only the other has."""
+    return staged.where(F.col("variant") == variant).drop("header_period_date" if variant == VARIANTS[0] else "period_start_date")
+
+
 def union_variants(detailed: DataFrame, summary: DataFrame) -> DataFrame:
     """All lines by column name, 75 columns; a column that one side lacks is NULL there."""
     return detailed.unionByName(summary, allowMissingColumns=True)

@@ -6,10 +6,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.config import DEFAULT, Profile
+from sedimenta.config import AUTO, DEFAULT, REVIEW, VARIANTS, Profile
 from sedimenta.operators import checks, drift, landing, mapping, registry, warehouse
 from sedimenta.sources import xml_documents
 
+TABLES = ("parsed", "invoices", "line_items", "quarantine", "observations", "staged", "int_deduped", "mart_invoices")
 LAYERS = ("landing", "diff", "mapping", "mart", "checks")
 
 
@@ -25,8 +26,15 @@ class Lakehouse:
     profile: Profile = DEFAULT
     mapper: mapping.Mapper = field(default_factory=mapping.NameMapper)
     dry_run: bool = False
+    #: Database of the catalog whose tables the layers are, besides being folders below root.
+    database: str | None = None
+    auto: float = AUTO
+    review: float = REVIEW
 
     def table(self, name: str) -> DataFrame:
+        """A layer's table: that of the catalog, if it has one, or the folder."""
+        if self.database is not None and self.spark.catalog.tableExists(f"{self.database}.{name}"):
+            return self.spark.table(f"{self.database}.{name}")
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def has(self, name: str) -> bool:
@@ -35,12 +43,28 @@ class Lakehouse:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def require(self, *names: str) -> None:
-        missing = [n for n in names if not self.has(n)]
+        there = self.tables()
+        missing = [n for n in names if n not in there]
         if missing:
-            raise FileNotFoundError(f"no such table yet: {', '.join(missing)}")
+            raise FileNotFoundError(f"no such table yet: {', '.join(missing)}; there are: {', '.join(there) or 'none'}")
+
+    def tables(self) -> list[str]:
+        """The layers that are complete."""
+        return [n for n in TABLES if self.has(n)]
+
+    def register(self) -> list[str]:
+        """Makes a temporary view of each layer that is complete, for SQL; their names."""
+        for name in self.tables():
+            self.table(name).createOrReplaceTempView(name)
+        return self.tables()
 
     def _write(self, rows: DataFrame, name: str, *partitions: str) -> None:
-        rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{self.root}/{name}")
+        out = rows.write.mode("overwrite").partitionBy(*partitions)
+        if self.database is None:
+            out.parquet(f"{self.root}/{name}")
+        else:
+            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
+            out.format("parquet").option("path", f"{self.root}/{name}").saveAsTable(f"{self.database}.{name}")
 
     def store(self) -> registry.Store:
         return registry.Store(self.spark, f"{self.root}/mapping_registry")
@@ -64,18 +88,19 @@ class Lakehouse:
         """Decisions for new fields, put into the registry unless this is a dry run; None without drift."""
         if not diff["has_drift"] or not diff["new_fields"]:
             return None
-        decisions = mapping.decide(self.spark, diff, self.mapper)
+        decisions = mapping.decide(self.spark, diff, self.mapper, self.auto, self.review)
         if not self.dry_run:
             store = self.store()
             store.write(registry.upsert(store.read(), decisions, self.ingested_at))
         return decisions
 
     def build(self) -> dict[str, DataFrame]:
-        lines, invoices = self.table("line_items"), self.table("invoices")
-        models = {"stg_detailed": warehouse.stage_detailed(lines, invoices), "stg_summary": warehouse.stage_summary(lines, invoices)}
-        models["int_deduped"] = warehouse.dedup_invoices(warehouse.stage_all(lines, invoices))
-        self._write(warehouse.mart(models["int_deduped"]), "mart_invoices")
-        return models | {"mart": self.table("mart_invoices")}
+        """The models, each written once and read again: both staging models as the parts of one table, from one join."""
+        self._write(warehouse.stage_all(self.table("line_items"), self.table("invoices")), "staged", "variant")
+        self._write(warehouse.dedup_invoices(self.table("staged")), "int_deduped")
+        self._write(warehouse.mart(self.table("int_deduped")), "mart_invoices")
+        stages = {name: warehouse.of_variant(self.table("staged"), v) for name, v in zip(("stg_detailed", "stg_summary"), VARIANTS)}
+        return stages | {"int_deduped": self.table("int_deduped"), "mart": self.table("mart_invoices")}
 
     def run(self, layers: tuple[str, ...] = LAYERS) -> dict:
         """The chosen layers in order; mapping is skipped without drift and nothing else is."""

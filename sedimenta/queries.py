@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.config import ALLOCATION, CORPUS, DEFAULT, LINE, PARTY, POSITIONS, Declared
+from sedimenta.config import ALLOCATION, CORPUS, DEFAULT, LINE, PARTY, POSITIONS, Declared, Profile
 from sedimenta.functions.scalars import first_of, infer_type, month_of, surrogate_key, to_double, to_long, year_of
 from sedimenta.operators import checks, drift, landing, mapping, registry, reports, warehouse
 from sedimenta.sources import xml_documents
@@ -175,17 +175,30 @@ def alloc_fallback(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("invoice_id", "alloc_cost_center").agg(F.count(F.lit(1)).alias("n"))
 
 
+_URN = "urn:x"
+
+
 def variant_classify(spark: SparkSession, d: str) -> DataFrame:
-    bad = (
-        "CASE o_orderkey % 13 WHEN 0 THEN '<broken><' WHEN 1 THEN '<Other><DetailedInvoice/></Other>' WHEN 2 THEN '<StandardBillingDocument><X/></StandardBillingDocument>' "
-        "WHEN 3 THEN '<StandardBillingDocument><SummaryInvoice/></StandardBillingDocument>' WHEN 4 THEN NULL ELSE concat('<StandardBillingDocument><', "
-        + _HEAD["variant"] + ", '><DocumentHeader><Total>1</Total></DocumentHeader></x></StandardBillingDocument>') END"
-    ).replace("</x>", "</', " + _HEAD["variant"] + ", '>")
-    parsed = xml_documents.parse(_t(spark, d, "orders").select(F.lit("f").alias("source_file"), F.expr(bad).alias("xml")))
+    """Documents of both variants among broken, foreign and misleading ones, under a profile with a namespace."""
+    whole = "concat('<StandardBillingDocument xmlns', CASE o_orderkey % 3 WHEN 0 THEN '=\"urn:x\"' WHEN 1 THEN ' = \\'urn:x\\' ' ELSE '=\"urn:x\" note=\"x > \"' END, '>', BEFORE, '<', v, '><DocumentHeader><Total>1</Total></DocumentHeader></', v, '></StandardBillingDocument>')"
+    cases = [
+        "'<broken><'", "'<Other><DetailedInvoice/></Other>'", "'<StandardBillingDocument xmlns=\"urn:x\"><X/></StandardBillingDocument>'", "'<StandardBillingDocument xmlns=\"urn:x\"><SummaryInvoice/></StandardBillingDocument>'", "NULL",
+        whole.replace("BEFORE", "'<!-- <SummaryInvoice> --><?p <DetailedInvoice> ?>'"), whole.replace("BEFORE", "'<Other><SummaryInvoice/></Other>'"),
+        "concat('<StandardBillingDocument xmlns=\"urn:else\" note=\\' xmlns=\"urn:x\"\\'><', v, '><DocumentHeader/></', v, '></StandardBillingDocument>')",
+    ]
+    text = "CASE o_orderkey % 13 " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(cases)) + f" ELSE {whole.replace('BEFORE', repr(''))} END"
+    orders = _t(spark, d, "orders").withColumn("v", F.expr(_HEAD["variant"]))
+    parsed = xml_documents.parse(orders.select(F.lit("f").alias("source_file"), F.expr(text).alias("xml")), Profile(namespace=_URN))
     key = F.when(F.col("skip_reason").isNull(), F.col("variant"))
     return parsed.groupBy(key.alias("variant"), "skip_reason").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def xml_walk(spark: SparkSession, d: str) -> DataFrame:
+    """The element walk over whole documents: how often each element with text is seen, and in how many documents."""
+    seen = drift.observations(xml_documents.parse(xml_texts(spark, d)))
+    return seen.groupBy("variant", "field", "parent").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_file").alias("documents"))
+
+
 def surrogate_keys(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lineitem").select(surrogate_key(F.lit("a.xml"), F.expr("nullif(l_orderkey % 9, 0)"), F.expr("nullif(l_linenumber, 3)")).alias("sk"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -370,6 +383,15 @@ def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     return best.select("n_name", F.col("b.r_name").alias("nearest"), F.col("b.distance").cast("long").alias("distance"))
 
 
+_FIELD = f"concat(replace(element_at(array({', '.join(repr(n) for n in _NAMES)}), cast(p_partkey % {len(_NAMES)} + 1 as int)), '_', ''), repeat('x', cast(p_size % 12 as int)))"
+
+
+def name_mapper(spark: SparkSession, d: str) -> DataFrame:
+    """The offline provider over the names of a table: the nearest known column of each."""
+    fields = _t(spark, d, "part").select("p_partkey", F.expr(_FIELD).alias("field_name"))
+    return mapping.nearest_names(fields, mapping.corpus_table(spark)).withColumn("llm_confidence", F.round("llm_confidence", 3))
+
+
 _DUCK_SUGGESTED = {k: v.replace("element_at(array(", "list_extract([").replace("), cast(", "], cast(") for k, v in _SUGGESTED.items()}
 _SCORED_SQL = f"""
 WITH corpus AS (SELECT * FROM (VALUES {', '.join(f"('{t.name}', '{t.type}', '{t.position}')" for t in CORPUS)}) AS c(mapped_to, mapped_type, mapped_position)),
@@ -406,7 +428,7 @@ def registry_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def registry_open(spark: SparkSession, d: str) -> DataFrame:
-    rows = registry.open_rows(registry.of_run(spark, _registry(spark, d)[0], "2024-01-02"))
+    rows = registry.open_rows(registry.of_run(spark, _registry(spark, d)[0], "2024-01-01"))
     return rows.select("source_field", "mapped_to", "confidence", "status")
 
 
@@ -445,12 +467,21 @@ def dq_models(spark: SparkSession, d: str) -> DataFrame:
     return checks.run_checks("mart", _mart(spark, d), checks.MODELS["mart"])
 
 
+def dq_staging(spark: SparkSession, d: str) -> DataFrame:
+    """The checks of the models below the mart, 35 in all."""
+    invoices, lines = stand_ins(spark, d)
+    staged = warehouse.stage_all(lines, invoices)
+    models = {"stg_detailed": warehouse.of_variant(staged, "DetailedInvoice"), "stg_summary": warehouse.of_variant(staged, "SummaryInvoice"), "int_deduped": warehouse.dedup_invoices(staged)}
+    parts = [checks.run_checks(name, rows, checks.MODELS[name]) for name, rows in models.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _report(find: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: find(_mart(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "xml_roundtrip": xml_roundtrip, "variant_classify": variant_classify, "party_pivot": party_pivot, "alloc_fallback": alloc_fallback, "surrogate_key": surrogate_keys,
+    "xml_roundtrip": xml_roundtrip, "xml_walk": xml_walk, "variant_classify": variant_classify, "party_pivot": party_pivot, "alloc_fallback": alloc_fallback, "surrogate_key": surrogate_keys,
     "defensive_cast": defensive_cast, "coalesce_alias": coalesce_alias, "json_walk": json_walk, "stg_detailed": stg_detailed, "stg_summary": stg_summary,
     "union_variants": union_variants, "dedup_latest": dedup_latest, "dedup_events": dedup_events, "mart_enrich": mart_enrich, "year_month_parts": year_month_parts,
     "warehouse_columns": warehouse_columns,
@@ -460,8 +491,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rpt_invoice_grain": _report(reports.invoice_grain_summary), "verify_counts": _report(reports.health_counts), "verify_status_dist": _report(reports.status_distribution), "verify_sample": verify_sample,
     "infer_type": infer_types, "field_profile": field_profile, "dominant_type": dominant_type, "first_k_examples": first_k_examples, "drift_new_fields": _against(drift.new_fields),
     "drift_variant": _against(drift.variant_drift), "drift_type_conflicts": _against(drift.type_conflicts), "drift_summary": drift_summary, "score_confidence": score_confidence,
-    "confidence_tier": confidence_tier, "tier_summary": tier_summary, "fuzzy_match": fuzzy_match, "registry_upsert": registry_upsert, "registry_open": registry_open,
-    "registry_resolve": registry_resolve, "dq_not_null": dq_not_null, "dq_unique": dq_unique, "dq_accepted_values": dq_accepted_values, "dq_mart": dq_models,
+    "confidence_tier": confidence_tier, "tier_summary": tier_summary, "fuzzy_match": fuzzy_match, "name_mapper": name_mapper, "registry_upsert": registry_upsert, "registry_open": registry_open,
+    "registry_resolve": registry_resolve, "dq_not_null": dq_not_null, "dq_unique": dq_unique, "dq_accepted_values": dq_accepted_values, "dq_mart": dq_models, "dq_staging": dq_staging,
 }
 
 
@@ -471,12 +502,16 @@ def _checks_sql(model: str, parts: list[tuple[str, str, str, str]]) -> str:
     return f"SELECT '{model}' AS model, *, CASE WHEN failures = 0 THEN 'pass' WHEN severity = 'warn' THEN 'warn' ELSE 'fail' END AS status FROM ({rows})"
 
 
-def _mart_check(c: checks.Check) -> str:
+def _check_sql(c: checks.Check, table: str) -> str:
     if c.kind == "not_null":
-        return f"SELECT count(*) FROM mart WHERE {c.column} IS NULL"
+        return f"SELECT count(*) FROM {table} WHERE {c.column} IS NULL"
     if c.kind == "unique":
-        return f"SELECT count(*) FROM (SELECT {c.column} FROM mart WHERE {c.column} IS NOT NULL GROUP BY {c.column} HAVING count(*) > 1)"
-    return f"SELECT count(*) FROM mart WHERE {c.column} NOT IN ({', '.join(repr(v) for v in c.values)})"
+        return f"SELECT count(*) FROM (SELECT {c.column} FROM {table} WHERE {c.column} IS NOT NULL GROUP BY {c.column} HAVING count(*) > 1)"
+    return f"SELECT count(*) FROM {table} WHERE {c.column} NOT IN ({', '.join(repr(v) for v in c.values)})"
+
+
+def _model_sql(model: str, table: str) -> str:
+    return _checks_sql(model, [(c.column, c.kind, c.severity, _check_sql(c, table)) for c in checks.MODELS[model]])
 
 
 _CAST_SQL = _TOKENS
@@ -487,7 +522,7 @@ ORACLE_SQL: dict[str, str] = {
     "xml_roundtrip": f"""SELECT {_sha("concat('o', l_orderkey, '.xml')", _LI_ID, "l_linenumber")} AS sk, {_sha("concat('o', l_orderkey, '.xml')", _LI_ID)} AS invoice_sk, {_VARIANT_SQL} AS variant,
         {_LI_ID} AS invoice_id, CAST(l_linenumber AS BIGINT) AS line_number, l_quantity AS quantity, l_extendedprice AS line_total, CAST(NULL AS VARCHAR) AS units FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "variant_classify": f"""SELECT CASE WHEN skip_reason IS NULL THEN v END AS variant, skip_reason, count(*) AS documents FROM (SELECT {_VARIANT_SQL} AS v,
-        CASE o_orderkey % 13 WHEN 0 THEN 'malformed' WHEN 1 THEN 'other root' WHEN 2 THEN 'unknown variant' WHEN 3 THEN 'no header' WHEN 4 THEN 'malformed' END AS skip_reason FROM orders) GROUP BY ALL""",
+        CASE o_orderkey % 13 WHEN 0 THEN 'malformed' WHEN 1 THEN 'other root' WHEN 2 THEN 'unknown variant' WHEN 3 THEN 'no header' WHEN 4 THEN 'malformed' WHEN 7 THEN 'foreign namespace' END AS skip_reason FROM orders) GROUP BY ALL""",
     "party_pivot": f"""SELECT {_sha("concat('o', o_orderkey, '.xml')", "CAST(o_orderkey AS VARCHAR)")} AS sk, CAST(o_orderkey AS VARCHAR) AS invoice_id, strftime(o_orderdate, '%Y-%m-%d') AS document_date,
         o_totalprice AS total, 'A' AS action_status, s_name AS vendor_entity_name, CAST(NULL AS VARCHAR) AS vendor_entity_code, CAST(o_custkey AS VARCHAR) AS client_entity_code, 'N' AS client_entity_code_type,
         CAST(NULL AS VARCHAR) AS client_entity_name FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey % 10 + 1""",
@@ -543,7 +578,7 @@ ORACLE_SQL: dict[str, str] = {
     "fuzzy_match": "SELECT n_name, r_name AS nearest, levenshtein(lower(n_name), lower(r_name)) AS distance FROM nation, region QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY levenshtein(lower(n_name), lower(r_name)), r_name) = 1",
     "registry_upsert": _REG_SQL + """, dec AS (SELECT * FROM ev WHERE event_id % 7 = 1 QUALIFY row_number() OVER (PARTITION BY source_field, run_date ORDER BY confidence DESC, mapped_to) = 1)
         SELECT run_date, source_field, mapped_to, confidence, status FROM reg ANTI JOIN dec USING (source_field, run_date) UNION ALL SELECT run_date, source_field, mapped_to, confidence, status FROM dec""",
-    "registry_open": _REG_SQL + "SELECT source_field, mapped_to, confidence, status FROM reg WHERE run_date = '2024-01-02' AND status <> 'resolved'",
+    "registry_open": _REG_SQL + "SELECT source_field, mapped_to, confidence, status FROM reg WHERE run_date = '2024-01-01' AND status <> 'resolved'",
     "registry_resolve": _REG_SQL + """SELECT source_field, CASE WHEN source_field = 'F1' THEN 'resolved' ELSE status END AS status, count(*) AS n,
         max(CASE WHEN source_field = 'F1' AND status <> 'resolved' THEN '2024-02-01 00:00:00' ELSE '2024-01-01 00:00:00' END) AS updated_at FROM reg GROUP BY 1, 2""",
     "dq_not_null": _checks_sql("orders", [("o_orderkey", "not_null", "error", "SELECT count(*) FROM orders WHERE o_orderkey IS NULL"), ("o_custkey", "not_null", "warn", "SELECT count(*) FROM orders WHERE o_custkey % 11 = 0")]),
@@ -552,5 +587,18 @@ ORACLE_SQL: dict[str, str] = {
         ("o_orderstatus", "accepted_values", "error", "SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderstatus NOT IN ('F', 'O')"),
         ("o_orderstatus", "accepted_values", "warn", "SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderstatus NOT IN ('F', 'O', 'P')"),
     ]),
-    "dq_mart": BASE_SQL + _checks_sql("mart", [(c.column, c.kind, c.severity, _mart_check(c)) for c in checks.MODELS["mart"]]),
+    "dq_mart": BASE_SQL + _model_sql("mart", "mart"),
+    "dq_staging": BASE_SQL + f"""{_model_sql("stg_detailed", "(SELECT * FROM staged WHERE variant = 'DetailedInvoice')")} UNION ALL {_model_sql("stg_summary", "(SELECT * FROM staged WHERE variant = 'SummaryInvoice')")}
+        UNION ALL {_model_sql("int_deduped", "deduped")}""",
+    "name_mapper": f"""WITH fields AS (SELECT p_partkey, {_FIELD.replace("element_at(array(", "list_extract([").replace("), cast(", "], cast(")} AS field_name FROM part), known AS (SELECT unnest([{', '.join(repr(t.name) for t in CORPUS)}]) AS name),
+        near AS (SELECT field_name, name, levenshtein(lower(field_name), replace(name, '_', '')) / greatest(length(field_name), length(name), 1) AS share FROM (SELECT DISTINCT field_name FROM fields), known
+                 QUALIFY row_number() OVER (PARTITION BY field_name ORDER BY share, name) = 1)
+        SELECT p_partkey, field_name, CASE WHEN 1 - share >= 0.5 THEN name ELSE 'UNKNOWN' END AS mapped_to, CASE WHEN 1 - share >= 0.5 THEN round(round(1 - share, 4), 3) ELSE 0.0 END AS llm_confidence FROM fields JOIN near USING (field_name)""",
+    "xml_walk": f"""WITH d AS (SELECT o_orderkey, {_VARIANT_SQL} AS variant, s_name FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey % 10 + 1), l AS (SELECT * FROM lineitem JOIN d ON l_orderkey = o_orderkey), seen AS (
+        SELECT variant, o_orderkey, unnest(['DocumentNumber', 'DocumentDate', 'Total', 'Status', 'Status', 'EntityCode']) AS field, unnest(['DocumentHeader', 'DocumentHeader', 'DocumentHeader', 'Action', 'Action', 'Entity']) AS parent FROM d
+        UNION ALL SELECT variant, o_orderkey, 'EntityName', 'Entity' FROM d WHERE s_name IS NOT NULL
+        UNION ALL SELECT variant, o_orderkey, 'CostCenter', 'Allocation' FROM d WHERE o_orderkey % 2 = 0
+        UNION ALL SELECT variant, o_orderkey, unnest(['LineNumber', 'Quantity', 'Total']), 'LineEntry' FROM l
+        UNION ALL SELECT variant, o_orderkey, unnest(['CostCenter', 'CostCenter']), 'Allocation' FROM l WHERE l_partkey % 3 <> 0
+        ) SELECT variant, field, parent, count(*) AS n, count(DISTINCT o_orderkey) AS documents FROM seen GROUP BY ALL""",
 }

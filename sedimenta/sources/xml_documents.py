@@ -9,10 +9,14 @@ from pyspark.sql import types as T
 from sedimenta.config import DEFAULT, ROOT, VARIANTS, Field, Profile
 from sedimenta.functions.scalars import clean, typed
 
-#: Name of the root element, past declaration, comments and document type.
-_ROOT_NAME = r"(?s)^\x{FEFF}?\s*(?:(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)\s*)*<(?:[\w.-]+:)?([\w.-]+)"
-#: Name of the first of the variant elements after the root.
-_VARIANT_NAME = rf"(?s)<(?:[\w.-]+:)?({'|'.join(VARIANTS)})[\s/>]"
+#: What may stand before the root element, and the root's start tag up to its end, its attributes' values whatever they hold.
+_BEFORE = r"(?s)^\x{FEFF}?\s*(?:(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)\s*)*"
+_START = r"<(?:([\w.-]+):)?([\w.-]+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+#: The name of the first element below the root.
+_CHILD = _BEFORE + _START + r"(?:\s|<!--.*?-->|<\?.*?\?>)*<(?:[\w.-]+:)?([\w.-]+)"
+_ATTRIBUTE = r"[\w.:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')"
+#: The first child of the root that is a variant, for documents that have something else before it.
+_VARIANT_PATH = "name(/*/*[" + " or ".join(f"name()='{v}' or substring-after(name(),':')='{v}'" for v in VARIANTS) + "][1])"
 
 
 def _tree(paths: list[str]) -> dict:
@@ -79,31 +83,48 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFr
     return files.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("xml"))
 
 
+def _variant(xml: Column, doc: Column) -> Column:
+    """The first child of the root that is a variant element; NULL if there is none. Malformed texts aren't looked at."""
+    child = F.regexp_extract(xml, _CHILD, 4)
+    some = xml.rlike("|".join(VARIANTS)) & doc.isNotNull() & doc.getField("_corrupt_record").isNull()
+    further = F.when(some, F.regexp_replace(F.xpath_string(xml, F.lit(_VARIANT_PATH)), "^.*:", ""))
+    return F.nullif(F.when(child.isin(*VARIANTS), child).otherwise(further), F.lit(""))
+
+
+def _namespace(xml: Column) -> Column:
+    """The namespace of the root element, under its own prefix if it has one; empty without one."""
+    prefix = F.regexp_extract(xml, _BEFORE + _START, 1)
+    declared = F.when(prefix == "", "xmlns").otherwise(F.concat(F.lit("xmlns:"), prefix))
+    attributes = F.regexp_extract_all(F.regexp_extract(xml, _BEFORE + _START, 3), F.lit(_ATTRIBUTE), 0)
+    own = F.filter(attributes, lambda a: F.regexp_extract(a, r"^([\w.:-]+)", 1) == declared)
+    return F.coalesce(F.regexp_extract(F.get(own, F.lit(0)), r"""(?s)=\s*["'](.*)["']$""", 1), F.lit(""))
+
+
 def parse(texts: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """(source_file, xml, variant, doc, skip_reason) of documents given as text.
 
-    variant is that of the first variant element of the document. skip_reason says why a document gives no rows: it
-    is malformed, its root is another element, it has no variant, its namespace is foreign, or it has no header. A
-    NULL text is malformed.
+    variant is the first child of the root that is a variant element. skip_reason says why a document gives no rows: it
+    is malformed, its root is another element, it has no variant, its root's namespace is not the profile's (if the
+    profile names one), or it has no header. A NULL text is malformed.
     """
     schema = document_schema(profile)
     doc = F.from_xml(
         F.col("xml"), schema,
         {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE", "columnNameOfCorruptRecord": "_corrupt_record"},
     )
-    root = F.regexp_extract("xml", _ROOT_NAME, 1)
-    first = F.nullif(F.regexp_extract("xml", _VARIANT_NAME, 1), F.lit(""))
-    header = F.when(first == VARIANTS[0], F.get(F.get(F.col(f"doc.{VARIANTS[0]}"), F.lit(0)).getField("DocumentHeader"), F.lit(0)).isNotNull()).otherwise(
+    # Generated from an array of one, the parsed document is made once and not again for each expression on it.
+    once = texts.select("source_file", "xml", F.explode(F.array(doc)).alias("doc"))
+    once = once.withColumn("variant", _variant(F.col("xml"), F.col("doc")))
+    root = F.regexp_extract("xml", _BEFORE + _START, 2)
+    header = F.when(F.col("variant") == VARIANTS[0], F.get(F.get(F.col(f"doc.{VARIANTS[0]}"), F.lit(0)).getField("DocumentHeader"), F.lit(0)).isNotNull()).otherwise(
         F.get(F.get(F.col(f"doc.{VARIANTS[1]}"), F.lit(0)).getField("DocumentHeader"), F.lit(0)).isNotNull()
     )
-    foreign = F.lit(False) if profile.namespace is None else ~F.contains("xml", F.lit(f'="{profile.namespace}"'))
+    foreign = F.lit(False) if profile.namespace is None else _namespace(F.col("xml")) != profile.namespace
     reason = (
         F.when(F.col("xml").isNull() | F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull(), "malformed")
         .when(root != ROOT, "other root")
-        .when(first.isNull(), "unknown variant")
+        .when(F.col("variant").isNull(), "unknown variant")
         .when(foreign, "foreign namespace")
         .when(~header, "no header")
     )
-    # Generated from an array of one, the parsed document is made once and not again for each expression on it.
-    once = texts.select("source_file", "xml", F.explode(F.array(doc)).alias("doc"))
-    return once.select("source_file", "xml", first.alias("variant"), "doc", reason.alias("skip_reason"))
+    return once.select("source_file", "xml", "variant", "doc", reason.alias("skip_reason"))

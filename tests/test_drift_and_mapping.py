@@ -122,3 +122,37 @@ def test_registry_versions(spark, tmp_path):
     b = store.read().where("source_field = 'B'").first()
     assert (b.mapped_to, b.overridden_by, b.status, str(b.updated_at)) == ("w", "someone", "overridden", "2024-05-06 04:00:00")
     assert registry.of_run(spark, store.read(), DAY).count() == 2 and registry.of_run(spark, store.read(), "2024-05-07").count() == 0
+
+
+def test_nearest_names_are_those_of_the_mapper(spark):
+    names = ["UnitPrices", "unit_price", "Zzz", "", "TaxTotl", "ProjectCodes", "a", "Alloc-Total"]
+    mapper = mapping.NameMapper()
+    rows = mapping.nearest_names(spark.createDataFrame([(n,) for n in [*names, "UnitPrices"]], "field_name string"), mapping.corpus_table(spark)).collect()
+    assert len(rows) == len(names) + 1
+    for r in rows:
+        want = mapper.suggest_mapping({"field_name": r.field_name})
+        assert (r.mapped_to, r.llm_confidence) == (want["mapped_to"], want["confidence"])
+
+
+def test_providers_by_name(tmp_path):
+    (tmp_path / "t.json").write_text('{"New": ["units", 0.9, "told"]}', encoding="utf-8")
+    assert mapping.mapper_named("edit_distance", {}).name == "edit_distance"
+    assert mapping.mapper_named("table", {"SEDIMENTA_TABLE": str(tmp_path / "t.json")}).suggest_mapping({"field_name": "New"}) == {"mapped_to": "units", "confidence": 0.9, "reasoning": "told"}
+    chat = mapping.mapper_named("chat", {"SEDIMENTA_CHAT_URL": "http://127.0.0.1:9/none", "SEDIMENTA_CHAT_MODEL": "m"})
+    assert chat.name == "chat:m" and chat.suggest_mapping({"field_name": "New"})["mapped_to"] == mapping.UNKNOWN
+    with pytest.raises(ValueError):
+        mapping.mapper_named("other", {})
+
+
+def test_corpus_tells_what_each_column_means():
+    assert len(CORPUS) == 40 and all(len(t.description.split()) > 3 for t in CORPUS)
+    assert all(t.description in mapping.build_prompt({"field_name": "X"}) for t in CORPUS)
+
+
+def test_diff_document_is_read_back(spark, tmp_path):
+    diff = {"run_date": "2024-01-01", "has_drift": False, "new_fields": [], "files_scanned": 0}
+    (tmp_path / "diff.json").write_text(drift.to_json(diff), encoding="utf-8")
+    assert drift.read_json(spark, str(tmp_path / "diff.json")) == diff
+    (tmp_path / "bad.json").write_text("{}", encoding="utf-8")
+    with pytest.raises(ValueError, match="lacks"):
+        drift.read_json(spark, str(tmp_path / "bad.json"))

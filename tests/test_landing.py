@@ -75,6 +75,33 @@ def test_skips_are_quarantined_with_a_reason(spark):
     assert {r.variant: r.documents for r in landing.variant_counts(parsed).collect()} == {"DetailedInvoice": 2}
 
 
+ROOT = "StandardBillingDocument"
+HEAD = "<DocumentHeader><Total>1</Total></DocumentHeader>"
+PROBES = {
+    "default": (f'<{ROOT} xmlns="{NS}"><DetailedInvoice>{HEAD}</DetailedInvoice></{ROOT}>', "DetailedInvoice", None),
+    "single": (f"<{ROOT} xmlns='{NS}'><SummaryInvoice>{HEAD}</SummaryInvoice></{ROOT}>", "SummaryInvoice", None),
+    "spaces": (f'<{ROOT}\n xmlns = "{NS}" ><DetailedInvoice>{HEAD}</DetailedInvoice></{ROOT}>', "DetailedInvoice", None),
+    "prefix": (f'<n:{ROOT} xmlns="urn:else" xmlns:n="{NS}"><n:DetailedInvoice><n:DocumentHeader/></n:DetailedInvoice></n:{ROOT}>', "DetailedInvoice", None),
+    "foreign": (f'<{ROOT} xmlns="urn:else"><DetailedInvoice>{HEAD}</DetailedInvoice></{ROOT}>', "DetailedInvoice", "foreign namespace"),
+    "none": (f"<{ROOT}><DetailedInvoice>{HEAD}</DetailedInvoice></{ROOT}>", "DetailedInvoice", "foreign namespace"),
+    "decoy": (f"""<{ROOT} xmlns="urn:else" note='x xmlns="{NS}" > '><DetailedInvoice>{HEAD}</DetailedInvoice></{ROOT}>""", "DetailedInvoice", "foreign namespace"),
+    "comment": (f'<{ROOT} xmlns="{NS}"><!-- <SummaryInvoice> --><?p <SummaryInvoice>?><DetailedInvoice>{HEAD}</DetailedInvoice></{ROOT}>', "DetailedInvoice", None),
+    "later": (f'<{ROOT} xmlns="{NS}"><Other><DetailedInvoice/></Other><SummaryInvoice>{HEAD}</SummaryInvoice></{ROOT}>', "SummaryInvoice", None),
+    "both": (f'<{ROOT} xmlns="{NS}"><Other/><SummaryInvoice>{HEAD}</SummaryInvoice><DetailedInvoice>{HEAD}</DetailedInvoice></{ROOT}>', "SummaryInvoice", None),
+    "deep": (f'<{ROOT} xmlns="{NS}"><Other><DetailedInvoice/></Other></{ROOT}>', None, "unknown variant"),
+    "empty": (f'<{ROOT} xmlns="{NS}"/>', None, "unknown variant"),
+    "cdata": (f'<{ROOT} xmlns="{NS}"><Other><![CDATA[<SummaryInvoice>]]></Other><DetailedInvoice>{HEAD}</DetailedInvoice></{ROOT}>', "DetailedInvoice", None),
+    "broken": (f'<{ROOT} xmlns="{NS}"><Other/><DetailedInvoice>{HEAD}', None, "malformed"),
+}
+
+
+def test_variant_and_namespace_are_those_of_the_elements(spark):
+    rows = parse(spark, {k: v[0] for k, v in PROBES.items()}, Profile(namespace=NS)).collect()
+    assert {r.source_file: (r.variant if r.skip_reason != "malformed" else None, r.skip_reason) for r in rows} == {k: v[1:] for k, v in PROBES.items()}
+    loose = {r.source_file: r.skip_reason for r in parse(spark, {k: v[0] for k, v in PROBES.items()}).collect()}
+    assert loose == {k: None if v[2] == "foreign namespace" else v[2] for k, v in PROBES.items()}
+
+
 def test_flat_profile_finds_fields_directly_below_the_line(spark):
     text = {"a.xml": document(lines=line(1, "<ServiceCode>S</ServiceCode><DaysDue>30</DaysDue>") + line(2, "<ServiceItem><ServiceCode>T</ServiceCode></ServiceItem><ServiceCode>S</ServiceCode>"))}
     assert [r.service_code for r in landing.line_items(parse(spark, text), AT).orderBy("line_number").collect()] == [None, "T"]

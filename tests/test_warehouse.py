@@ -116,6 +116,29 @@ def test_whole_run(spark, tmp_path, texts):
     assert len(dry.run()["decisions"]) == 1 and dry.store().read().count() == 0
 
 
+def test_catalog_tables_and_views(spark, tmp_path, texts):
+    house = Lakehouse(spark, write(tmp_path / "src", texts), str(tmp_path / "out"), "2024-05-06", AT, database="layers_of_test")
+    try:
+        assert len(house.run()["checks"]) == 51
+        assert spark.table("layers_of_test.mart_invoices").count() == house.table("mart_invoices").count() == spark.read.parquet(str(tmp_path / "out" / "mart_invoices")).count()
+        assert set(house.register()) == {"parsed", "invoices", "line_items", "quarantine", "observations", "staged", "int_deduped", "mart_invoices"}
+        assert spark.sql("SELECT count(DISTINCT invoice_id) AS n FROM int_deduped JOIN invoices USING (invoice_id)").first().n == 3
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS layers_of_test CASCADE")
+    with pytest.raises(FileNotFoundError, match="there are: .*mart_invoices"):
+        house.require("nothing")
+
+
+def test_staging_models_are_parts_of_one_table(spark, texts):
+    parsed = parse(spark, texts)
+    lines, invoices = landing.line_items(parsed, AT), landing.invoices(parsed, AT)
+    staged = warehouse.stage_all(lines, invoices)
+    for variant, model in (("DetailedInvoice", warehouse.stage_detailed), ("SummaryInvoice", warehouse.stage_summary)):
+        want, got = model(lines, invoices), warehouse.of_variant(staged, variant)
+        assert set(want.columns) == set(got.columns) and len(got.columns) == 74
+        assert sorted(map(str, want.collect())) == sorted(map(str, got.select(want.columns).collect()))
+
+
 def test_no_drift_skips_mapping_only(spark, tmp_path):
     house = Lakehouse(spark, write(tmp_path / "src", {"a.xml": document(lines=line(1))}), str(tmp_path / "out"), "2024-05-06", AT)
     out = house.run()
@@ -135,6 +158,10 @@ def test_command_line(spark, tmp_path, texts, capsys):
     base = ["--src", source, "--root", root, "--run-date", "2024-05-06"]
     assert cli.main([*base, "run"]) == 1  # a document's date gives no year, which a check refuses
     assert cli.main([*base, "diff", "--out", str(tmp_path / "diff")]) == 0 and (tmp_path / "diff" / "2024-05-06" / "diff.json").exists()
+    capsys.readouterr()
+    assert cli.main([*base, "map", "--dry-run", "--diff", str(tmp_path / "diff" / "2024-05-06" / "diff.json")]) == 0 and "no new fields" in capsys.readouterr().out
+    (tmp_path / "diff.json").write_text('{"run_date": "2024-05-06", "has_drift": true, "new_fields": [{"field_name": "UnitPrices", "parents": ["LineEntry"], "observed_type": "decimal"}]}', encoding="utf-8")
+    assert cli.main([*base, "--auto", "0.5", "map", "--diff", str(tmp_path / "diff.json")]) == 0 and "auto_approved=1" in capsys.readouterr().out
     assert cli.main([*base, "report", "--top", "2"]) == 0 and "Total invoices    : 3" in capsys.readouterr().out
     assert cli.main([*base, "verify"]) == 0 and cli.main([*base, "load", "--out", str(tmp_path / "wh")]) == 0
     assert "INVOICE_ID" in spark.read.parquet(str(tmp_path / "wh" / "INVOICES")).columns
