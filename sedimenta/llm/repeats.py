@@ -71,7 +71,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text the number of words and its homes, with the words of their regions, negative for homes at several places."""
     for batch in batches:
         for part in slices(batch, "text"):
-            h, offsets = words_of(part.column("text"))
+            h, offsets = words_of(part.column("text"), marks=True)
             start, length, home, twice = homes(h, offsets)
             row = row_of(offsets)[start]
             order = np.lexsort((home, row))
@@ -87,7 +87,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each run of passages of a wanted home: the home, its part, and the hashes of the words that the run covers."""
     for batch in batches:
         for part in slices(batch, "text"):
-            h, offsets = words_of(part.column("text"))
+            h, offsets = words_of(part.column("text"), marks=True)
             start, length, home, _ = homes(h, offsets)
             cut_at = np.searchsorted(start, offsets)
             used, share = [], []
@@ -267,7 +267,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     Every passage of SPAN words or more is reported wherever it occurs but for its first place, which is the one in
     the least doc_id and the leftmost there; a NULL doc_id is greater than all. Passages that first occur in
-    different documents are reported apart. Words are as in words_of: case and ASCII punctuation don't count. Of
+    different documents are reported apart, and what a document has twice is reported too. Words are what ASCII white
+    space ends; their case and ASCII punctuation don't count, but what is nothing but punctuation is a word as well. Of
     texts that are equal the first row is compared with other texts and the others are repeats from end to end.
     NULL and empty texts and texts of fewer words have no passage; an empty table gives an empty result.
     """

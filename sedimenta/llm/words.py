@@ -88,16 +88,25 @@ def _spans(cls: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at[:-1][used], at[1:][used]
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words_of(column: pa.Array, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows and the offsets of the rows in them.
 
     A word is a maximal run of bytes between ASCII white space, in lower case, with ASCII punctuation taken out;
-    what is nothing but punctuation is no word.
+    what is nothing but punctuation is no word, or, with marks, a word as it stands.
     """
     data, offsets = raw(pc.utf8_lower(column))
     if len(data) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     cls = CLASS[data]
+    if marks:
+        start, end = _spans(np.minimum(cls, 1), offsets)
+        letters = np.concatenate([[0], np.cumsum(cls == 1)])
+        only = letters[end] == letters[start]
+        # Bytes of such words count as letters.
+        at = np.zeros(len(data) + 1, np.int8)
+        at[start[only]] += 1
+        at[end[only]] -= 1
+        cls = np.where(np.cumsum(at[:-1], dtype=np.int8) > 0, np.uint8(1), cls)
     keep = cls != 2
     moved = np.concatenate([[0], np.cumsum(keep)])[offsets]
     data, cls = data[keep], cls[keep]

@@ -166,6 +166,14 @@ def test_lines_and_runs():
     assert row.tolist() == [0] and len(run) == 1
 
 
+def test_words_with_marks_are_those_of_split():
+    texts = ["a | b -- c's, D.", "", None, "...", "x\n\t?!\n", "!", "é é! —", "a" * 3 + " " + "-" * 5]
+    h, offsets = words.words_of(pa.array(texts), marks=True)
+    assert np.diff(offsets).tolist() == [len((t or "").split()) for t in texts]
+    one = lambda t: words.words_of(pa.array([t]), marks=True)[0].tolist()
+    assert one("C's D. | --") == one("cs, d | --") and one("|") != one("--") and len({*one("a b"), *one("| --")}) == 4
+
+
 @pytest.mark.parametrize("longest", [repeats.RUN, 7])
 def test_homes_cover_every_passage_once(longest):
     r = np.random.default_rng(6)
