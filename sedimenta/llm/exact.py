@@ -18,6 +18,8 @@ from sedimenta.llm.words import mix
 
 #: Digests that one filter shard holds on average.
 SHARD_KEYS = 500_000
+#: Text that one file of a snapshot's bucket holds, about.
+FILE_BYTES = 32 << 20
 #: Filters of up to so many bytes go to every worker; larger ones meet the digests shard by shard.
 BROADCAST_BYTES = 64 << 20
 
@@ -124,14 +126,14 @@ def _digested(docs: DataFrame, digest: Callable[[str], Column]) -> DataFrame:
 def write_snapshot(docs: DataFrame, path: str, digest: Callable[[str], Column] = F.xxhash64) -> Snapshot:
     """Writes the filter and the buckets of docs below path.
 
-    A bucket is a shard's digests; one of more rows than SHARD_KEYS, as of a text of very many copies, is several files.
+    A bucket is a shard's digests in files of about FILE_BYTES of text, over which the copies of a text are spread as well.
     """
     rows = _digested(docs, digest)
     shards = snapshot_filter(rows.select("d").distinct(), f"{path}/filter")
     keyed = rows.withColumn("bucket", F.pmod("d", F.lit(shards)).cast("long"))
     # One small row for each shard, of which there is one for SHARD_KEYS digests.
-    files = keyed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_KEYS)).alias("files"))
-    spread = keyed.join(F.broadcast(files), "bucket").withColumn("file", F.pmod(F.xxhash64("doc_id"), "files"))
+    files = keyed.groupBy("bucket").agg(F.ceil((F.sum(F.octet_length("text")) + 1) / F.lit(FILE_BYTES)).alias("files"))
+    spread = keyed.join(F.broadcast(files), "bucket").withColumn("file", F.pmod(F.xxhash64("doc_id", "d"), "files"))
     spread = spread.repartition("bucket", "file").sortWithinPartitions("bucket", "d").select("doc_id", "text", "d", "bucket")
     spread.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/buckets")
     return Snapshot(docs.sparkSession, path)
