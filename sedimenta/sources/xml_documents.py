@@ -112,9 +112,9 @@ def parse(texts: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
         F.col("xml"), schema,
         {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE", "columnNameOfCorruptRecord": "_corrupt_record"},
     )
-    # Generated from an array of one, the parsed document is made once and not again for each expression on it.
+    # Generated from arrays of one, the parsed document and its variant are made once and not again for each use.
     once = texts.select("source_file", "xml", F.explode(F.array(doc)).alias("doc"))
-    once = once.withColumn("variant", _variant(F.col("xml"), F.col("doc")))
+    once = once.select("source_file", "xml", "doc", F.explode(F.array(_variant(F.col("xml"), F.col("doc")))).alias("variant"))
     root = F.regexp_extract("xml", _BEFORE + _START, 2)
     header = F.when(F.col("variant") == VARIANTS[0], F.get(F.get(F.col(f"doc.{VARIANTS[0]}"), F.lit(0)).getField("DocumentHeader"), F.lit(0)).isNotNull()).otherwise(
         F.get(F.get(F.col(f"doc.{VARIANTS[1]}"), F.lit(0)).getField("DocumentHeader"), F.lit(0)).isNotNull()
