@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -115,6 +116,7 @@ class Lakehouse:
         if "mart" in layers or "checks" in layers:
             models = self.build()
             if "checks" in layers:
-                results = [r for name, rows in models.items() for r in checks.run_checks(name, rows, checks.MODELS[name]).collect()]
-                out["checks"] = [r.asDict() for r in results]
+                # One query, whose branches run side by side.
+                results = reduce(DataFrame.unionByName, [checks.run_checks(name, rows, checks.MODELS[name]) for name, rows in models.items()])
+                out["checks"] = [r.asDict() for r in results.collect()]
         return out

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.config import ALLOCATION, CORPUS, DEFAULT, LINE, PARTY, POSITIONS, Declared, Profile
+from sedimenta.config import ALLOCATION, CORPUS, DEFAULT, LINE, PARTY, PARTY_ROLES, POSITIONS, Declared, Field, Profile
 from sedimenta.functions.scalars import first_of, infer_type, month_of, surrogate_key, to_double, to_long, year_of
 from sedimenta.operators import checks, drift, landing, mapping, registry, reports, warehouse
 from sedimenta.sources import xml_documents
@@ -199,6 +199,45 @@ def xml_walk(spark: SparkSession, d: str) -> DataFrame:
     return seen.groupBy("variant", "field", "parent").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_file").alias("documents"))
 
 
+def _element(known: tuple[Field, ...], prefix: str = "") -> list[str]:
+    """SQL strings that make, one after another, the elements of all fields, each with a value of its own."""
+    tree: dict = {}
+    for f in known:
+        steps, _, attribute = f.paths[0].partition("@")
+        at = tree
+        for step in steps.split("/"):
+            at = at.setdefault(step, {})
+        at["@" + attribute if attribute else "#"] = {"double": "concat(p_size, '.5')", "long": "p_size"}.get(f.type, f"concat('{prefix}{f.name} ', p_partkey)")
+
+    def emit(name: str, below: dict) -> list[str]:
+        given = [x for k, v in below.items() if k.startswith("@") for x in (f"' {k[1:]}=\"'", v, "'\"'")]
+        inner = [below["#"]] if "#" in below else []
+        return [f"'<{name}'", *given, "'>'", *inner, *[x for k, v in below.items() if k[0] not in "@#" for x in emit(k, v)], f"'</{name}>'"]
+
+    return [x for k, v in tree.items() for x in emit(k, v)]
+
+
+def _full_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A document of one line for each part, with every element that the configuration knows."""
+    roles = [x for role in PARTY_ROLES for x in (f"'<Party PartyRole=\"{role}\">'", *_element(PARTY, role.lower() + "_"), "'</Party>'")]
+    parts = [
+        "'<StandardBillingDocument invoice_id=\"'", "p_partkey", "'\"><DetailedInvoice><DocumentHeader>'", *_element(DEFAULT.header), *roles,
+        "'</DocumentHeader><DocumentLines><LineEntry><LineNumber>1</LineNumber>'", *_element(LINE), "'<Allocation>'", *_element(ALLOCATION),
+        "'</Allocation></LineEntry></DocumentLines></DetailedInvoice></StandardBillingDocument>'",
+    ]
+    return _t(spark, d, "part").select(F.lit("p.xml").alias("source_file"), F.expr(f"concat({', '.join(parts)})").alias("xml"))
+
+
+def header_columns(spark: SparkSession, d: str) -> DataFrame:
+    """All 35 columns of the header table."""
+    return landing.invoices(xml_documents.parse(_full_documents(spark, d)), STAMP)
+
+
+def line_columns(spark: SparkSession, d: str) -> DataFrame:
+    """All 44 columns of the line table."""
+    return landing.line_items(xml_documents.parse(_full_documents(spark, d)), STAMP)
+
+
 def surrogate_keys(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lineitem").select(surrogate_key(F.lit("a.xml"), F.expr("nullif(l_orderkey % 9, 0)"), F.expr("nullif(l_linenumber, 3)")).alias("sk"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -481,7 +520,7 @@ def _report(find: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, s
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "xml_roundtrip": xml_roundtrip, "xml_walk": xml_walk, "variant_classify": variant_classify, "party_pivot": party_pivot, "alloc_fallback": alloc_fallback, "surrogate_key": surrogate_keys,
+    "xml_roundtrip": xml_roundtrip, "xml_walk": xml_walk, "variant_classify": variant_classify, "party_pivot": party_pivot, "header_columns": header_columns, "line_columns": line_columns, "alloc_fallback": alloc_fallback, "surrogate_key": surrogate_keys,
     "defensive_cast": defensive_cast, "coalesce_alias": coalesce_alias, "json_walk": json_walk, "stg_detailed": stg_detailed, "stg_summary": stg_summary,
     "union_variants": union_variants, "dedup_latest": dedup_latest, "dedup_events": dedup_events, "mart_enrich": mart_enrich, "year_month_parts": year_month_parts,
     "warehouse_columns": warehouse_columns,
@@ -514,6 +553,11 @@ def _model_sql(model: str, table: str) -> str:
     return _checks_sql(model, [(c.column, c.kind, c.severity, _check_sql(c, table)) for c in checks.MODELS[model]])
 
 
+def _full_sql(first: str, known: list[tuple[str, Field]]) -> str:
+    values = {"double": "p_size + 0.5", "long": "CAST(p_size AS BIGINT)"}
+    return f"SELECT {first}, '{STAMP}' AS ingested_at, 'p.xml' AS source_file, 'DetailedInvoice' AS variant, CAST(p_partkey AS VARCHAR) AS invoice_id, " + ", ".join(f"{values.get(f.type, f"concat('{pre}{f.name} ', p_partkey)")} AS {pre}{f.name}" for pre, f in known) + " FROM part"
+
+
 _CAST_SQL = _TOKENS
 _SPEND_SQL = "CAST(count(DISTINCT invoice_id) AS BIGINT) AS invoices, " + _money("invoice_total") + " AS total_spend"
 _VARIANT_SQL = _HEAD["variant"]
@@ -587,6 +631,8 @@ ORACLE_SQL: dict[str, str] = {
         ("o_orderstatus", "accepted_values", "error", "SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderstatus NOT IN ('F', 'O')"),
         ("o_orderstatus", "accepted_values", "warn", "SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderstatus NOT IN ('F', 'O', 'P')"),
     ]),
+    "header_columns": _full_sql(f"{_sha("'p.xml'", 'CAST(p_partkey AS VARCHAR)')} AS sk", [*[("", f) for f in DEFAULT.header], *[(r.lower() + "_", f) for r in PARTY_ROLES for f in PARTY]]),
+    "line_columns": _full_sql(f"{_sha("'p.xml'", 'CAST(p_partkey AS VARCHAR)', "'1'")} AS sk, {_sha("'p.xml'", 'CAST(p_partkey AS VARCHAR)')} AS invoice_sk, CAST(1 AS BIGINT) AS line_number", [("", f) for f in (*LINE, *ALLOCATION)]),
     "dq_mart": BASE_SQL + _model_sql("mart", "mart"),
     "dq_staging": BASE_SQL + f"""{_model_sql("stg_detailed", "(SELECT * FROM staged WHERE variant = 'DetailedInvoice')")} UNION ALL {_model_sql("stg_summary", "(SELECT * FROM staged WHERE variant = 'SummaryInvoice')")}
         UNION ALL {_model_sql("int_deduped", "deduped")}""",
