@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,27 +54,55 @@ def of_run(spark: SparkSession, registry: DataFrame, run_date: str) -> DataFrame
 
 
 class Store:
-    """Registry versions below a folder. A write goes to the next version, so nothing that is read is overwritten."""
+    """Registry versions below a folder. A write goes to the next version, so nothing that is read is overwritten.
+
+    Of two writers that started from one version the first to finish makes the next one and the other one fails, so
+    no decision is lost. The newest KEEP versions stay.
+    """
+
+    KEEP = 20
+    #: Seconds after which the claim of a writer that died between claiming and renaming no longer counts.
+    STALE = 600
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.read_from: int | None = None
+
+    def _path(self, name: str = ""):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _files(self):
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(folder):
+        files = self._files()
+        if not files.exists(self._path()):
             return []
-        names = [(s.getPath(), s.getPath().getName()) for s in files.listStatus(folder)]
-        return sorted(int(n[2:]) for p, n in names if n.startswith("v=") and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        names = [s.getPath().getName() for s in files.listStatus(self._path())]
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and files.exists(self._path(f"{n}/_SUCCESS")))
 
     def read(self) -> DataFrame:
         """The newest version; empty before the first write."""
         found = self._versions()
+        self.read_from = found[-1] if found else 0
         if not found:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v={found[-1]}")
 
     def write(self, registry: DataFrame) -> None:
-        found = self._versions()
-        registry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v={(found[-1] if found else 0) + 1}")
+        """The next version after the one that was read last."""
+        files, found = self._files(), self._versions()
+        version = (self.read_from if self.read_from is not None else (found[-1] if found else 0)) + 1
+        fresh = f"_writing-{uuid.uuid4().hex}"
+        registry.coalesce(1).write.parquet(f"{self.path}/{fresh}")
+        claim = self._path(f"_claim-{version}")
+        if version not in found and files.exists(claim) and time.time() - files.getFileStatus(claim).getModificationTime() / 1000 > self.STALE:
+            files.delete(claim, False)
+        if version in self._versions() or not files.createNewFile(claim):
+            files.delete(self._path(fresh), True)
+            raise RuntimeError(f"version {version} of the registry was written by another run; read it and decide again")
+        files.rename(self._path(fresh), self._path(f"v={version}"))
+        self.read_from = version
+        for old in self._versions()[: -self.KEEP]:
+            files.delete(self._path(f"v={old}"), True)
+            files.delete(self._path(f"_claim-{old}"), False)

@@ -156,3 +156,17 @@ def test_diff_document_is_read_back(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{}", encoding="utf-8")
     with pytest.raises(ValueError, match="lacks"):
         drift.read_json(spark, str(tmp_path / "bad.json"))
+
+
+def test_registry_writers_do_not_overwrite_one_another(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry.Store, "KEEP", 2)
+    one, two = (registry.Store(spark, str(tmp_path / "registry")) for _ in range(2))
+    empty = one.read()
+    two.read()
+    one.write(empty)
+    with pytest.raises(RuntimeError, match="another run"):
+        two.write(empty)
+    two.read()
+    for _ in range(3):
+        two.write(two.read())
+    assert two._versions() == [3, 4] and one.read().count() == 0
