@@ -688,6 +688,21 @@ def test_op10_odd(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0 and neardup.keep_one(empty(spark)).count() == 0
 
 
+def test_hot_keys_are_never_ranked_in_one_task(spark, monkeypatch):
+    """Nine rows in ten have one text, one digest and one band: no plan has a window over any of them."""
+    plans = []
+    for module in (neardup, graph, exact):
+        monkeypatch.setattr(module, "cut", lambda df, name, f=module.cut: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), f(df, name))[1])
+    docs = table(spark, [(k, "all of them say this one thing here" if k % 10 else prose(k)) for k in range(200)])
+    for out in (neardup.near_duplicates(docs), exact.exact_duplicates([docs.where("doc_id < 150"), docs.where("doc_id >= 150")])):
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        rows = {r.doc_id: (r.keep_id, r.keep) for r in out.collect()}
+        assert rows == {k: (1, k == 1) if k % 10 else (k, True) for k in range(200)}
+    assert len(plans) > 15 and not any("Window" in p for p in plans)
+    lines = linedup.overlapping(linedup.distinct_texts(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert lines.count("Window [") == lines.count("WindowGroupLimit")
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(1, 1), (2, 2)]
