@@ -241,8 +241,8 @@ def keepers(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, keep) for every row of docs: the document that stays for its group, and whether it is this one.
 
-    Documents of a group share, directly or through others of it, at least THRESHOLD of their word 3-grams; the
-    group is found if one band of its sketches agrees. Exact copies are always grouped. Of rows that repeat both
+    Two documents are joined if their sketches share a band and the Jaccard similarity of their word 3-grams is
+    THRESHOLD or more; groups are what is joined directly or through others. Exact copies are always grouped. Of rows that repeat both
     doc_id and text one is kept. Texts without a word have exact copies only. A NULL text is in no group: its row is
     kept with keep_id its own doc_id. An empty table gives an empty result.
     """
