@@ -115,22 +115,16 @@ def test_sketch_agrees_with_jaccard_and_fills_small_sets():
     assert abs(np.mean([(m[0] == m[1]).mean() for m in many]) - 400 / 1000) < 0.03
 
 
-def test_verified_groups_are_the_components_of_the_similarity_graph():
+@pytest.mark.parametrize("few", [0, 3, neardup.FEW])
+def test_similar_pairs_are_all_and_only_those(few, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW", few)
     r = np.random.default_rng(9)
-    for _ in range(30):
+    for n in [*range(1, 14), 60]:
         pool = r.integers(0, 2**63, 60).astype(np.uint64)
-        sets = [np.unique(r.choice(pool, r.integers(1, 40))) for _ in range(12)]
-        own = neardup.verified_groups(sets, 0.3)
-        root = list(range(12))
-
-        def find(i, root=root):
-            return i if root[i] == i else find(root[i])
-
-        for i in range(12):
-            for j in range(i):
-                if len(np.intersect1d(sets[i], sets[j])) >= 0.3 * len(np.union1d(sets[i], sets[j])):
-                    root[find(i)] = find(j)
-        assert {tuple(np.flatnonzero(own == g)) for g in own} == {tuple(i for i in range(12) if find(i) == g) for g in set(map(find, range(12)))}
+        sets = [np.unique(r.choice(pool, r.integers(0, 40))) for _ in range(n)]
+        ones = np.flatnonzero(r.random(n) < 0.5)
+        want = {(i, j) for i in ones for j in range(n) if i != j and len(b := np.intersect1d(sets[i], sets[j])) and len(b) >= 0.3 * len(np.union1d(sets[i], sets[j]))}
+        assert set(zip(*neardup.similar_pairs(sets, ones, 0.3))) == want
 
 
 def test_block_max_search_finds_all_that_brute_force_finds():
