@@ -28,6 +28,8 @@ PASSAGE = 128
 BLOCK_ITEMS = 8
 #: Benchmark words that one pass over the documents searches; a larger benchmark takes several.
 INDEX_WORDS = 4_000_000
+#: Postings that are opened at once, about; a passage of more comes alone. It bounds memory and decides nothing else.
+OPEN_POSTINGS = 1 << 18
 
 
 class Index:
@@ -79,12 +81,14 @@ class Index:
         return np.arange(len(which)) - before[which] + at[term][which], which
 
     def search(self, passage: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, score) of all items that score SCORE or more for passages given as distinct terms.
+        """(passage, item, score) of all items that score SCORE or more for passages given, in order, as distinct terms.
 
         Bounds as in block-max WAND, for all passages at once: a passage is left if the sum of its lists' maxima is
         too small, a block of items if the sum of the block's maxima is; the rest is scored in full. Terms that are
         not essential open no block as long as the sum of their lists' maxima is below SCORE in the passage, so that no
-        item can reach SCORE by them alone; those of the greatest maxima beyond that count as essential there.
+        item can reach SCORE by them alone; those of the greatest maxima beyond that count as essential there. What the
+        lists' maxima leave is opened for runs of passages of about OPEN_POSTINGS postings, so memory follows neither the
+        texts at hand nor the benchmark, but for the list of one passage.
         """
         slack = SCORE - 1e-9
         alive = np.bincount(passage, self.most[term], n) >= slack
@@ -97,9 +101,24 @@ class Index:
         begin = np.searchsorted(passage[other], passage[other])
         ess[other[total - (total[begin] - self.most[term[other]][begin]) >= slack - 1e-9]] = True
         rest = np.bincount(passage[~ess], self.most[term[~ess]], n)
-        alive = (np.bincount(passage[ess], self.most[term[ess]], n) + rest >= slack)[passage] & ess
-        at, which = self._expand(self.block_at, term[alive])
-        cell = passage[alive][which] * self.blocks + self.block[at]
+        keep = (np.bincount(passage[ess], self.most[term[ess]], n) + rest >= slack)[passage]
+        passage, term, ess = passage[keep], term[keep], ess[keep]
+        found, opened, i = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], np.cumsum(self.at[term + 1] - self.at[term]), 0
+        while i < len(passage):
+            # Whole passages: those that end within the postings, or else the next one.
+            j = int(np.searchsorted(opened, (opened[i - 1] if i else 0) + OPEN_POSTINGS, "right"))
+            j = int(np.searchsorted(passage, passage[j])) if j < len(passage) else j
+            j = j if j > i else int(np.searchsorted(passage, passage[i], "right"))
+            found.append(self._opened(passage[i:j], term[i:j], ess[i:j], rest))
+            i = j
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _opened(self, passage: np.ndarray, term: np.ndarray, ess: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """search() for whole passages that the lists' maxima leave; rest: for each passage, the maxima's sum of terms that open no block."""
+        slack, start = SCORE - 1e-9, int(passage[0])
+        passage, rest, n = passage - start, rest[start:], int(passage[-1]) - start + 1
+        at, which = self._expand(self.block_at, term[ess])
+        cell = passage[ess][which] * self.blocks + self.block[at]
         cells, bound = summed(cell, self.block_most[at], n * self.blocks)
         cells = cells[bound + rest[cells // self.blocks] >= slack]
         chosen = np.zeros(n, bool)
@@ -110,7 +129,7 @@ class Index:
         open_block = np.isin(where * self.blocks + item // BLOCK_ITEMS, cells)
         pair, score = summed(where[open_block] * len(self.words) + item[open_block], self.impact[at[open_block]], n * len(self.words))
         good = score >= slack
-        return pair[good] // len(self.words), pair[good] % len(self.words), score[good]
+        return start + pair[good] // len(self.words), pair[good] % len(self.words), score[good]
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,10 +25,16 @@ _SAME = np.uint64(0x5BD1E9955BD1E995)
 
 
 def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse vectors of the texts of a column, as (row, index, value) in order of row and index.
+    """Sparse vectors of the texts of a column, as (row, index, value) in order of row and index; value is log2(1 + count)."""
+    row, index, count = counted(column, bits)
+    return row, index, np.log2(1.0 + count)
 
-    Features are hashed words and punctuation runs and their bigrams, valued log2(1 + count). A bigram of one
-    token with itself is hashed as "repeats the token before it", whatever the token.
+
+def counted(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the texts of a column and how often they occur, as (row, index, count) in order of row and index.
+
+    Features are hashed words and punctuation runs and their bigrams. A bigram of one token with itself is hashed as
+    "repeats the token before it", whatever the token.
     """
     h, offsets = tokens_of(column)
     rows = row_of(offsets)
@@ -41,7 +47,7 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(key)))
     key = key[first]
-    return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64(2**bits - 1)).astype(np.int64), np.log2(1.0 + count)
+    return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64(2**bits - 1)).astype(np.int64), count
 
 
 class Ftrl:
@@ -72,12 +78,14 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
     batch = pa.RecordBatch.from_arrays([pa.array(rows["text"], pa.large_string()), pa.array(rows["good"])], ["text", "good"])
     data = []
     for part in slices(batch, "text"):
-        row, index, value = features(part.column("text"))
+        row, index, count = counted(part.column("text"))
         ends = np.searchsorted(row, np.arange(part.num_rows + 1))
-        data += [(index[a:b], value[a:b], float(y)) for a, b, y in zip(ends, ends[1:], part.column("good").to_pylist())]
+        # The vectors of the whole sample are held, so in half the bytes.
+        index, count = index.astype(np.int32), count.astype(np.int32)
+        data += [(index[a:b], count[a:b], float(y)) for a, b, y in zip(ends, ends[1:], part.column("good").to_pylist())]
     for _ in range(EPOCHS):
-        for index, value, label in data:
-            model.learn(index, value, label)
+        for index, count, label in data:
+            model.learn(index, np.log2(1.0 + count), label)
     return pd.DataFrame({"weights": [zlib.compress(model.weights().astype("<f4").tobytes(), 1)]})
 
 

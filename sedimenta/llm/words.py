@@ -133,8 +133,9 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 def summed(key: np.ndarray, weight: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys below `keys` and the sums of their weights."""
-    if keys <= 1 << 23:
-        total = np.bincount(key, weight, keys).astype(np.float64)
+    # No more room than for some times the values at hand.
+    if keys <= max(1 << 16, 8 * len(key)):
+        total = np.bincount(key, weight, keys).astype(np.float64, copy=False)
         at = np.flatnonzero(total)
         return at, total[at]
     at, inverse = np.unique(key, return_inverse=True)

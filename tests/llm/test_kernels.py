@@ -2,6 +2,7 @@
 
 import random
 import string
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +144,23 @@ def test_block_max_search_finds_all_that_brute_force_finds():
     assert all(abs(want[int(a), int(b)] - s) < 1e-9 for a, b, s in zip(*got))
 
 
+def test_block_max_search_takes_no_more_memory_for_more_passages(monkeypatch):
+    r = np.random.default_rng(5)
+    vocab = np.sort(r.integers(0, 2**63, 400).astype(np.uint64))
+    items = [vocab[r.choice(400, 40, False)] for _ in range(300)]
+    index = decontam.Index(list(range(300)), items, None, 300, 40)
+    place = [np.searchsorted(index.terms, np.unique(np.concatenate([vocab[r.choice(400, 130)], items[k % 300][: r.integers(20, 40)]]))) for k in range(4000)]
+    passage, term = np.repeat(np.arange(4000), [len(p) for p in place]), np.concatenate(place)
+    tracemalloc.start()
+    got = index.search(passage, term, 4000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got[0]) > 1000 and peak < 100_000_000
+    for postings in (1, 3000, 1 << 40):
+        monkeypatch.setattr(decontam, "OPEN_POSTINGS", postings)
+        assert all(np.array_equal(a, b) for a, b in zip(index.search(passage, term, 4000), got))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=25), st.lists(st.integers(0, 5), max_size=25))
 def test_patience_gives_ordered_common_blocks(a, b):
