@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,21 +71,22 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def _train(rows: pd.DataFrame) -> pd.DataFrame:
+def _train(rows: pa.Table) -> pa.Table:
     model = Ftrl()
-    rows = rows.sort_values(["ord", "doc_id", "text"], kind="stable")
-    batch = pa.RecordBatch.from_arrays([pa.array(rows["text"], pa.large_string()), pa.array(rows["good"])], ["text", "good"])
+    rows = rows.select(["ord", "doc_id", "text", "good"]).sort_by([(c, "ascending") for c in ("ord", "doc_id", "text")])
     data = []
-    for part in slices(batch, "text"):
+    for part in (p for batch in rows.to_batches() for p in slices(batch, "text")):
         row, index, count = counted(part.column("text"))
         ends = np.searchsorted(row, np.arange(part.num_rows + 1))
         # The vectors of the whole sample are held, so in half the bytes.
         index, count = index.astype(np.int32), count.astype(np.int32)
         data += [(index[a:b], count[a:b], float(y)) for a, b, y in zip(ends, ends[1:], part.column("good").to_pylist())]
+    del rows
     for _ in range(EPOCHS):
         for index, count, label in data:
             model.learn(index, np.log2(1.0 + count), label)
-    return pd.DataFrame({"weights": [zlib.compress(model.weights().astype("<f4").tobytes(), 1)]})
+    del data
+    return pa.table({"weights": pa.array([zlib.compress(model.weights().astype("<f4").tobytes(), 1)], pa.binary())})
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     fit = (
         text_columns(docs, "doc_id", "text").where("text is not null").join(F.broadcast(lab), "doc_id")
         .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good"), F.first("ord").alias("ord"))
-        .groupBy(F.lit(1).alias("all_rows")).applyInPandas(_train, "weights binary").collect()
+        .groupBy(F.lit(1).alias("all_rows")).applyInArrow(_train, "weights binary").collect()
     )
     return np.frombuffer(zlib.decompress(bytes(fit[0]["weights"])), "<f4") if fit else np.zeros(2**BITS + 1, "<f4")
 

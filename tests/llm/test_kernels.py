@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sedimenta.llm import decontam, exact, linedup, mixing, neardup, pretokens, rans, repeats, words
+from sedimenta.llm import decontam, exact, linedup, mixing, neardup, pretokens, quality, rans, repeats, words
 from sedimenta.llm.suffixes import suffix_array
 
 
@@ -144,6 +144,19 @@ def test_block_max_search_finds_all_that_brute_force_finds():
     assert all(abs(want[int(a), int(b)] - s) < 1e-9 for a, b, s in zip(*got))
 
 
+def test_training_holds_the_sample_once(monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    r = np.random.default_rng(6)
+    texts = [" ".join(map(str, r.integers(0, 10**6, 400))) for _ in range(6000)]
+    rows = pa.table({"ord": np.arange(6000), "doc_id": np.arange(6000), "text": texts, "good": np.arange(6000, dtype=np.int32) % 2, "all_rows": np.ones(6000, np.int32)})
+    tracemalloc.start()
+    quality._train(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 4.8 million features of 8 bytes, the model, and the work on one slice.
+    assert peak < 130_000_000, peak
+
+
 def test_block_max_search_takes_no_more_memory_for_more_passages(monkeypatch):
     r = np.random.default_rng(5)
     vocab = np.sort(r.integers(0, 2**63, 400).astype(np.uint64))
