@@ -122,6 +122,13 @@ class Profile:
 
         return Profile(add(self.header), add(self.party), add(self.line), add(self.allocation), self.namespace)
 
+    def only(self, header: str = "", party: str = "", line: str = "", allocation: str = "") -> Profile:
+        """The columns named, "*" for all of a table: what is not asked for need not be parsed."""
+        def keep(known: tuple[Field, ...], names: str) -> tuple[Field, ...]:
+            return known if names == "*" else tuple(f for f in known if f.name in names.split())
+
+        return Profile(keep(self.header, header), keep(self.party, party), keep(self.line, line), keep(self.allocation, allocation), self.namespace)
+
 
 DEFAULT = Profile()
 FLAT = DEFAULT.also(FLAT_PATHS)

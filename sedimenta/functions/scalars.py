@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def clean(value: Column) -> Column:
     """Text without white space at its ends; NULL if nothing is left."""
-    return F.nullif(F.regexp_replace(value, r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(F.btrim(value, F.lit(" \t\n\x0b\f\r")), F.lit(""))
 
 
 def to_double(value: Column) -> Column:

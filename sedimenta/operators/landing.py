@@ -15,7 +15,8 @@ def _types(profile: Profile):
     header = body["DocumentHeader"].dataType.elementType
     lines = body["DocumentLines"].dataType.elementType
     line = lines["LineEntry"].dataType.elementType
-    return header, header["Party"].dataType.elementType, line, line["Allocation"].dataType.elementType
+    party, allocation = (of[n].dataType.elementType if n in of.names else None for of, n in ((header, "Party"), (line, "Allocation")))
+    return header, party, line, allocation
 
 
 def _body() -> Column:
@@ -54,9 +55,10 @@ def invoices(parsed: DataFrame, ingested_at: str, profile: Profile = DEFAULT) ->
     )
 
 
-def _lines(parsed: DataFrame) -> DataFrame:
+def _lines(parsed: DataFrame, profile: Profile) -> DataFrame:
     lines = usable(parsed).select("source_file", "variant", F.coalesce(F.col("doc._invoice_id"), F.lit("")).alias("invoice_id"), F.get(_body().getField("DocumentLines"), F.lit(0)).alias("d"))
-    return lines.select("source_file", "variant", "invoice_id", F.get(F.col("d.Allocation"), F.lit(0)).alias("shared"), F.explode("d.LineEntry").alias("l"))
+    shared = F.get(F.col("d.Allocation"), F.lit(0)) if profile.allocation else F.lit(None)
+    return lines.select("source_file", "variant", "invoice_id", shared.alias("shared"), F.explode("d.LineEntry").alias("l"))
 
 
 def line_items(parsed: DataFrame, ingested_at: str, profile: Profile = DEFAULT) -> DataFrame:
@@ -67,7 +69,8 @@ def line_items(parsed: DataFrame, ingested_at: str, profile: Profile = DEFAULT)
     """
     _, _, line_type, allocation_type = _types(profile)
     number = at_path(F.col("l"), "LineNumber", line_type)
-    rows = _lines(parsed).withColumn("a", F.coalesce(F.get(F.col("l.Allocation"), F.lit(0)), F.col("shared"))).withColumn("n", number)
+    own = F.get(F.col("l.Allocation"), F.lit(0)) if profile.allocation else F.lit(None)
+    rows = _lines(parsed, profile).withColumn("a", F.coalesce(own, F.col("shared"))).withColumn("n", number)
     return rows.select(
         surrogate_key(F.col("source_file"), F.col("invoice_id"), F.col("n")).alias("sk"), surrogate_key(F.col("source_file"), F.col("invoice_id")).alias("invoice_sk"),
         F.lit(ingested_at).alias("ingested_at"), "source_file", "variant", "invoice_id", to_long(F.col("n")).alias("line_number"),
@@ -78,7 +81,7 @@ def line_items(parsed: DataFrame, ingested_at: str, profile: Profile = DEFAULT)
 def allocations(parsed: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """Extension: every allocation of every line, not only the first: (line_sk, allocation_number, alloc_*)."""
     _, _, line_type, allocation_type = _types(profile)
-    rows = _lines(parsed).withColumn("n", at_path(F.col("l"), "LineNumber", line_type))
+    rows = _lines(parsed, profile).withColumn("n", at_path(F.col("l"), "LineNumber", line_type))
     rows = rows.withColumn("sk", surrogate_key(F.col("source_file"), F.col("invoice_id"), F.col("n")))
     every = rows.select("sk", F.posexplode(F.coalesce("l.Allocation", F.array("shared"))).alias("i", "a")).where("a is not null")
     return every.select(F.col("sk").alias("line_sk"), (F.col("i") + 1).alias("allocation_number"), *flat(F.col("a"), profile.allocation, allocation_type))

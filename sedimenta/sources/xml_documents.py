@@ -45,12 +45,13 @@ def _type(tree: dict) -> T.DataType:
 
 
 def document_schema(profile: Profile = DEFAULT) -> T.StructType:
-    """Schema of the root element under a profile."""
+    """Schema of the root element under a profile; of what the profile has no columns for, only what rows and skips depend on."""
     def under(prefix: str, known: tuple[Field, ...]) -> list[str]:
         return [f"{prefix}/{p}" for f in known for p in f.paths]
 
     body = (
-        under("DocumentHeader", profile.header) + under("DocumentHeader/Party", profile.party) + ["DocumentHeader/Party@PartyRole"]
+        under("DocumentHeader", profile.header) + under("DocumentHeader/Party", profile.party) + ["DocumentHeader/Party@PartyRole"] * bool(profile.party)
+        + ["DocumentHeader/DocumentNumber"] * (not profile.header and not profile.party)
         + ["DocumentLines/LineEntry/LineNumber"] + under("DocumentLines/LineEntry", profile.line)
         + under("DocumentLines/Allocation", profile.allocation) + under("DocumentLines/LineEntry/Allocation", profile.allocation)
     )
