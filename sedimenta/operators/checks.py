@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.config import CHARGE_CLASSES, CURRENCIES, STATUSES, VARIANTS, YEARS
@@ -21,35 +22,62 @@ class Check:
 RESULT = "model string, column string, test string, severity string, failures long, status string"
 
 
-def _failures(check: Check):
+#: Bits of a mask that are used.
+_BITS = 60
+
+
+def _marked(check: Check) -> Column:
+    """Whether a row fails, and for unique whether it counts."""
     c = F.col(check.column)
-    if check.kind == "not_null":
-        return F.count_if(c.isNull())
-    return F.count_if(c.isNotNull() & ~c.isin(*check.values))
+    if check.kind == "unique":
+        return c.isNotNull()
+    return c.isNull() if check.kind == "not_null" else c.isNotNull() & ~c.isin(*check.values)
 
 
-def run_checks(model: str, rows: DataFrame, checks: list[Check]) -> DataFrame:
-    """(model, column, test, severity, failures, status): pass, warn or fail.
+def run_models(rows: DataFrame, models: dict[str, tuple[Column, list[Check]]]) -> DataFrame:
+    """(model, column, test, severity, failures, status) of several models that are parts of one table, given by conditions.
 
-    NULL passes accepted_values and unique. All but unique are counted in one aggregation; a unique check counts the
-    values that occur more than once.
+    NULL passes accepted_values and unique; a unique check counts the values that occur more than once. What a row fails is
+    packed into bits, and masks are counted. Masks and the column that has to be unique go through one exchange, which
+    both countings read, so rows are made once; once more for each further column that has to be unique.
     """
-    plain = [c for c in checks if c.kind != "unique"]
+    listed = [(model, check, where & _marked(check)) for model, (where, checks) in models.items() for check in checks]
+    masks = [
+        reduce(Column.bitwiseOR, [F.when(marked, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, (_, _, marked) in enumerate(listed[at : at + _BITS])]).alias(f"m{at // _BITS}")
+        for at in range(0, len(listed), _BITS)
+    ]
+
+    def has(i: int) -> Column:
+        return F.col(f"m{i // _BITS}").bitwiseAND(F.lit(1 << i % _BITS).cast("long")) != 0
+
+    def shown(counted: DataFrame, which: list[int]) -> DataFrame:
+        labels = [
+            F.struct(F.lit(listed[i][0]).alias("model"), *[F.lit(v).alias(n) for n, v in (("column", listed[i][1].column), ("test", listed[i][1].kind), ("severity", listed[i][1].severity))], F.col(f"c{i}").alias("failures"))
+            for i in which
+        ]
+        return counted.select(F.inline(F.array(*labels)))
+
+    unique: dict[str, list[int]] = {}
+    for i, (_, check, _) in enumerate(listed):
+        if check.kind == "unique":
+            unique.setdefault(check.column, []).append(i)
+    by_key = {key: rows.select(F.col(key).alias("key"), *masks).repartition("key") for key in unique}
+    plain = [i for i, (_, check, _) in enumerate(listed) if check.kind != "unique"]
     parts = []
     if plain:
-        wide = rows.agg(*[_failures(c).alias(f"c{i}") for i, c in enumerate(plain)])
-        labels = [F.struct(F.lit(c.column).alias("column"), F.lit(c.kind).alias("test"), F.lit(c.severity).alias("severity"), F.col(f"c{i}").alias("failures")) for i, c in enumerate(plain)]
-        parts.append(wide.select(F.inline(F.array(*labels))))
-    for c in checks:
-        if c.kind == "unique":
-            many = rows.where(F.col(c.column).isNotNull()).groupBy(c.column).agg(F.count(F.lit(1)).alias("n"))
-            counted = many.agg(F.count_if(F.col("n") > 1).alias("failures"))
-            parts.append(counted.select(F.lit(c.column).alias("column"), F.lit("unique").alias("test"), F.lit(c.severity).alias("severity"), "failures"))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+        few = next(iter(by_key.values()), rows.select(*masks)).groupBy(*[f"m{k}" for k in range(len(masks))]).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(shown(few.agg(*[F.coalesce(F.sum(F.when(has(i), F.col("n"))), F.lit(0)).cast("long").alias(f"c{i}") for i in plain]), plain))
+    for key, which in unique.items():
+        many = by_key[key].groupBy("key").agg(*[F.count_if(has(i)).alias(f"n{i}") for i in which])
+        parts.append(shown(many.agg(*[F.count_if(F.col(f"n{i}") > 1).alias(f"c{i}") for i in which]), which))
+    out = reduce(DataFrame.unionByName, parts)
     status = F.when(F.col("failures") == 0, "pass").when(F.col("severity") == "warn", "warn").otherwise("fail")
-    return out.select(F.lit(model).alias("model"), "column", "test", "severity", "failures", status.alias("status"))
+    return out.select("model", "column", "test", "severity", "failures", status.alias("status"))
+
+
+def run_checks(model: str, rows: DataFrame, checks: list[Check]) -> DataFrame:
+    """The checks of one model, as run_models gives them."""
+    return run_models(rows, {model: (F.lit(True), checks)})
 
 
 def _not_null(text: str) -> list[Check]:

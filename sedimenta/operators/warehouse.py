@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.config import ALLOCATION, LINE, PARTY, PARTY_ROLES, VARIANTS
@@ -22,6 +22,10 @@ _AS_TEXT = {"units", "tax_total", "early_pay_days_due"}
 _RENAMED = {"notes": "line_notes", "period_date": "line_period_date", "discount_total": "line_discount_total", "discount_rate": "line_discount_rate"}
 
 
+#: Versions of one line: their key, what is latest, what decides between equals.
+_VERSIONS = (["invoice_id", "line_number"], ["action_datetime", "ingested_at"], ["source_file", "line_sk"])
+
+
 def _staged(line_items: DataFrame, invoices: DataFrame, variant: str) -> DataFrame:
     li, inv = line_items.where(F.col("variant") == variant).alias("li"), invoices.where(F.col("variant") == variant).alias("inv")
     detailed = variant == "DetailedInvoice"
@@ -84,14 +88,22 @@ def union_variants(detailed: DataFrame, summary: DataFrame) -> DataFrame:
 
 def dedup_latest(rows: DataFrame, keys: list[str], latest: list[str], tiebreak: list[str]) -> DataFrame:
     """One row for each key, NULL keys being equal: the latest by the given columns, NULLs last, then by the tiebreak."""
+    return rows.withColumn("__rank", _rank(keys, latest, tiebreak)).where("__rank = 1").drop("__rank")
+
+
+def _rank(keys: list[str], latest: list[str], tiebreak: list[str]) -> Column:
     order = [F.col(c).desc_nulls_last() for c in latest] + [F.col(c).asc_nulls_last() for c in tiebreak]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
 
 
 def dedup_invoices(rows: DataFrame) -> DataFrame:
     """The latest version of each line: by the time of the action, then of ingestion; ties go to the least file and line key."""
-    return dedup_latest(rows, ["invoice_id", "line_number"], ["action_datetime", "ingested_at"], ["source_file", "line_sk"])
+    return dedup_latest(rows, *_VERSIONS)
+
+
+def mark_latest(rows: DataFrame, name: str) -> DataFrame:
+    """All rows, with a column that says whether dedup_invoices keeps them."""
+    return rows.withColumn(name, _rank(*_VERSIONS) == 1)
 
 
 def effective_unit_price():

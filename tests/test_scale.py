@@ -39,3 +39,27 @@ def test_a_narrow_profile_parses_less_and_gives_the_same(spark):
         assert rows(profile, landing.invoices, *head) == rows(DEFAULT, landing.invoices, *head)
         assert rows(profile, landing.line_items, "line_number", *below) == rows(DEFAULT, landing.line_items, "line_number", *below)
         assert skipped(profile) == skipped(DEFAULT) == [("c.xml", "no header"), ("d.xml", "malformed")]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
+@pytest.mark.parametrize("name", ["dq_staging", "dq_mart"])
+def test_checks_of_all_models_read_their_tables_once(spark, name):
+    rows = queries.QUERIES[name](spark, str(DATA))
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Scan parquet") == 3
+
+
+def test_parts_of_one_table_are_checked_as_tables_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    from sedimenta.operators.checks import Check, run_checks, run_models
+
+    rows = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (2, "a", None), (None, "b", "x"), (None, "b", "x"), (3, None, "y"), (3, None, "y")], "k int, part string, v string")
+    of = [Check("k", "unique"), Check("k", "not_null"), Check("v", "accepted_values", ("x",), "warn"), Check("v", "unique")]
+    parts = {p: F.col("part") == p for p in ("a", "b", "none")}
+    got = sorted(map(tuple, run_models(rows, {p: (where, of * 9) for p, where in parts.items()}).distinct().collect()))
+    assert got == sorted(t for p, where in parts.items() for t in map(tuple, run_checks(p, rows.where(where), of).collect()))
+    assert [(r.column, r.test, r.failures, r.status) for r in run_checks("a", rows.where("part = 'a'"), of).collect()] == [
+        ("k", "not_null", 0, "pass"), ("v", "accepted_values", 1, "warn"), ("k", "unique", 1, "fail"), ("v", "unique", 0, "pass"),
+    ]
