@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.config import BASELINE, STRUCTURAL, Declared
+from sedimenta.config import BASELINE, ROOT, STRUCTURAL, VARIANTS, Declared
 from sedimenta.functions.scalars import clean, infer_type
+from sedimenta.sources.xml_documents import is_document
 
 EXAMPLES = 3
 #: Types in order of precedence where two are equally frequent.
@@ -58,6 +59,55 @@ def observations(parsed: DataFrame) -> DataFrame:
     return known.select("source_file", "variant", "xml").mapInArrow(emit, OBSERVATION)
 
 
+def _structure(xml: str | None) -> tuple[str | None, str | None]:
+    """(variant, structure) of a document's text: a line "field parent n" for each pair that holds text, in order; None without a variant."""
+    try:
+        root = ET.fromstring(xml or "")
+    except ET.ParseError:
+        return None, None
+    names = (child.tag.rpartition("}")[2] for child in root if isinstance(child.tag, str))
+    variant = next((n for n in names if n in VARIANTS), None) if root.tag.rpartition("}")[2] == ROOT else None
+    if variant is None:
+        return None, None
+    seen: dict[tuple[str, str], int] = {}
+    stack = [(root, "")]
+    while stack:
+        element, parent = stack.pop()
+        name = element.tag.rpartition("}")[2]
+        if name not in STRUCTURAL and (element.text or "").strip():
+            seen[name, parent] = seen.get((name, parent), 0) + 1
+        if len(element):
+            stack += [(child, name) for child in element if isinstance(child.tag, str)]
+    return variant, "\n".join(f"{name} {parent} {n}" for (name, parent), n in sorted(seen.items()))
+
+
+def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, fit = (batch.column(c).to_pylist() for c in ("xml", "fit"))
+        found = [(None, None) if ok is False else _structure(x) for x, ok in zip(texts, fit)]
+        columns = [batch.column("source_file"), *[pa.array([f[i] for f in found], pa.string()) for i in (0, 1)]]
+        yield pa.RecordBatch.from_arrays(columns, ["source_file", "variant", "structure"])
+
+
+def element_counts(texts: DataFrame) -> DataFrame:
+    """(variant, field, parent, n, documents) of (source_file, xml): how often an element with text is seen, and in how many files.
+
+    The same as counting observations(parse(texts)), from one row a document instead of one an element. Texts are walked
+    and classified in one reading; those with a document type, where parsers differ, must pass from_xml as well.
+    """
+    # A column and not a filter, which would be pushed to where texts are made and make them again.
+    fit = F.when(F.col("xml").contains("<!DOCTYPE"), is_document(F.col("xml")))
+    rows = texts.select("source_file", "xml", fit.alias("fit")).mapInArrow(_structures, "source_file string, variant string, structure string").where("structure <> ''")
+    # The documents of one file are one row; files alike in structure are counted together, and there are few kinds of them.
+    own = rows.groupBy("source_file", "variant", "structure").agg(F.count(F.lit(1)).alias("times"))
+    files = own.groupBy("source_file", "variant").agg(F.sort_array(F.collect_list(F.struct("structure", "times"))).alias("kind"))
+    kinds = files.groupBy("variant", "kind").agg(F.count(F.lit(1)).alias("files"), F.count("source_file").alias("named"))
+    each = kinds.select("variant", "kind", "files", "named", F.explode("kind").alias("k"))
+    each = each.select("variant", "kind", "files", "named", "k.times", F.explode(F.split("k.structure", "\n")).alias("line")).withColumn("p", F.split("line", " "))
+    pairs = each.groupBy("variant", "kind", "files", "named", F.col("p")[0].alias("field"), F.col("p")[1].alias("parent")).agg(F.sum(F.col("p")[2].cast("long") * F.col("times")).alias("n"))
+    return pairs.groupBy("variant", "field", "parent").agg(F.sum(F.col("n") * F.col("files")).alias("n"), F.sum("named").alias("documents"))
+
+
 def _dominant(counts: list[Column]) -> Column:
     """The type of the highest count, the first in TYPES of equal ones; counts are in the order of TYPES."""
     ranked = [F.struct(n.alias("n"), F.lit(-i).alias("rank"), F.lit(t).alias("type")) for i, (n, t) in enumerate(zip(counts, TYPES))]

@@ -101,6 +101,19 @@ def _namespace(xml: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.get(own, F.lit(0)), r"""(?s)=\s*["'](.*)["']$""", 1), F.lit(""))
 
 
+def _document(xml: Column, profile: Profile) -> Column:
+    return F.from_xml(
+        xml, document_schema(profile),
+        {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE", "columnNameOfCorruptRecord": "_corrupt_record"},
+    )
+
+
+def is_document(xml: Column) -> Column:
+    """Whether a text is well-formed for parse() and has the root element of documents."""
+    doc = _document(xml, DEFAULT.only())
+    return F.coalesce(doc.isNotNull() & doc.getField("_corrupt_record").isNull() & (F.regexp_extract(xml, _BEFORE + _START, 2) == ROOT), F.lit(False))
+
+
 def parse(texts: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """(source_file, xml, variant, doc, skip_reason) of documents given as text.
 
@@ -108,11 +121,7 @@ def parse(texts: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     is malformed, its root is another element, it has no variant, its root's namespace is not the profile's (if the
     profile names one), or it has no header. A NULL text is malformed.
     """
-    schema = document_schema(profile)
-    doc = F.from_xml(
-        F.col("xml"), schema,
-        {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE", "columnNameOfCorruptRecord": "_corrupt_record"},
-    )
+    doc = _document(F.col("xml"), profile)
     # Generated from arrays of one, the parsed document and its variant are made once and not again for each use.
     once = texts.select("source_file", "xml", F.explode(F.array(doc)).alias("doc"))
     once = once.select("source_file", "xml", "doc", F.explode(F.array(_variant(F.col("xml"), F.col("doc")))).alias("variant"))

@@ -63,3 +63,18 @@ def test_parts_of_one_table_are_checked_as_tables_of_their_own(spark):
     assert [(r.column, r.test, r.failures, r.status) for r in run_checks("a", rows.where("part = 'a'"), of).collect()] == [
         ("k", "not_null", 0, "pass"), ("v", "accepted_values", 1, "warn"), ("k", "unique", 1, "fail"), ("v", "unique", 0, "pass"),
     ]
+
+
+def test_structures_count_what_observations_count(spark):
+    from pyspark.sql import functions as F
+
+    from sedimenta.operators import drift
+    from tests.test_landing import PROBES
+
+    texts = [(k, v[0]) for k, v in PROBES.items()] + [("two.xml", document(lines=line(1))), ("two.xml", document(lines=line(1) + line(2))), ("two.xml", document("SummaryInvoice")), ("null.xml", None), (None, document())]
+    texts += [("dtd.xml", "<!DOCTYPE x>" + document(ns="a").partition("?>")[2]), ("entity.xml", '<!DOCTYPE x [<!ENTITY e "v">]>' + document(head=header(extra="<Notes>&e;</Notes>")).partition("?>")[2])]
+    given = spark.createDataFrame(texts, "source_file string, xml string")
+    seen = drift.observations(xml_documents.parse(given))
+    want = seen.groupBy("variant", "field", "parent").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_file").alias("documents"))
+    got = drift.element_counts(given)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 9
